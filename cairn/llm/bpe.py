@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import arrow_batch, table
 
-#: Entries of a worker's tables before they are dropped and filled anew: 60 to 150 MB.
-TABLE_ENTRIES = 300_000
+#: Entries of a worker's tables before they are dropped and filled anew: 100 to 150 MB.
+TABLE_ENTRIES = 400_000
 END = "</w>"
 
 
@@ -44,7 +44,13 @@ class Automaton:
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
         self.ids = vocabulary
         self.labels = {i: t for t, i in vocabulary.items()}
-        self.longest = max((len(t.removesuffix(END)) for t in vocabulary), default=1)
+        self.trie: dict = {}  # by byte label; "" holds the token that ends there without closing the word
+        for t, i in vocabulary.items():
+            node = self.trie
+            for c in t.removesuffix(END):
+                node = node.setdefault(c, {})
+            if not t.endswith(END):
+                node[""] = i
         never = len(merges)
         # Of each token, the tokens at its right and left edge with the rank at which each is taken up.
         self.right: dict[int, list[tuple[int, int]]] = {i: [(i, never)] for i in vocabulary.values()}
@@ -71,31 +77,40 @@ class Automaton:
 
     def word(self, s: str) -> list[int]:
         """The tokens of a pre-split word given in byte labels: the one path from its start to its end."""
-        n, ids, follows = len(s), self.ids, self.follows
+        n, ids, table, follows, trie = len(s), self.ids, self.table, self.follows, self.trie
         if (whole := ids.get(s + END)) is not None:
             return [whole]  # its own merges end in it: nothing else can be accepted
         path: list[int] = []
-        at, state, size = 0, -1, self.longest
-        stack: list[tuple[int, int, int]] = []
+        at, state, fresh = 0, -1, True
+        stack: list[tuple[int, int, list]] = []
         dead: set[tuple[int, int]] = set()
+        options: list[tuple[int, int]] = []
         while at < n:
-            token = -1
-            for size in range(min(size, n - at), 0, -1):
-                t = ids.get(s[at:] + END if at + size == n else s[at : at + size])
-                if t is not None and (at + size, t) not in dead and (state < 0 or follows(state, t)):
-                    token = t
-                    break
-            if token < 0:
+            if fresh:  # the tokens that start here, the longest last
+                options, node, to = [], trie, at
+                while to < n and (node := node.get(s[to])) is not None:
+                    to += 1
+                    if to == n:
+                        if (t := ids.get(s[at:] + END)) is not None:
+                            options.append((t, to))
+                    elif (t := node.get("")) is not None:
+                        options.append((t, to))
+            while options:
+                t, to = options.pop()
+                if state < 0 or table.get(state << 32 | t) or follows(state, t):
+                    if not dead or (to, t) not in dead:
+                        break
+            else:
                 if not stack:
                     raise ValueError("a symbol of this word isn't in the vocabulary")
                 dead.add((at, state))
-                at, state, size = stack.pop()
+                at, state, options = stack.pop()
                 path.pop()
-                size -= 1
+                fresh = False
                 continue
-            stack.append((at, state, size))
-            path.append(token)
-            at, state, size = at + size, token, self.longest
+            stack.append((at, state, options))
+            path.append(t)
+            at, state, fresh = to, t, True
         return path
 
 
@@ -113,23 +128,20 @@ class Tokenizer:
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.space = regex.compile(r"\s+")
         self.bytes = byte_labels()
-        self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, str, str]] = {}
 
-    def _word(self, piece: str) -> tuple[int, ...]:
-        if (ids := self.words.get(piece)) is None:
-            ids = tuple(self.automaton.word("".join(map(self.bytes.__getitem__, piece.encode()))))
-            if len(self.words) >= TABLE_ENTRIES:
-                self.words.clear()
-            self.words[piece] = ids
-        return ids
-
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        ids = [i for piece in self.pieces.findall(chunk) for i in self._word(piece)]
-        entry = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if len(self.chunks) >= TABLE_ENTRIES:
-            self.chunks.clear()
-        if len(chunk) < 200:
+        """Number, ids and labels of the tokens of a stretch without white space; kept for the next time unless it is long."""
+        pieces = [chunk] if chunk.isalpha() else self.pieces.findall(chunk)
+        if pieces == [chunk]:
+            ids = self.automaton.word("".join(map(self.bytes.__getitem__, chunk.encode())))
+            entry = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        else:
+            own = [self.chunks.get(p) or self._chunk(p) for p in pieces]
+            entry = (sum(e[0] for e in own), " ".join([e[1] for e in own]), " ".join([e[2] for e in own]))
+        if len(chunk) < 100:
+            if len(self.chunks) >= TABLE_ENTRIES:
+                self.chunks.clear()
             self.chunks[chunk] = entry
         return entry
 

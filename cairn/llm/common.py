@@ -143,3 +143,23 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def arrow_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
+
+
+# Columns that an operator hands on unread go under names of their own, so that they can't clash with its results.
+def carried(names: tuple[str, ...]) -> list[Column]:
+    return [F.col(c).alias(f"carried_{i}") for i, c in enumerate(names)]
+
+
+def carried_sql(df: DataFrame) -> str:
+    return "".join(f", {f.name} {f.dataType.simpleString()}" for f in df.schema if f.name.startswith("carried_"))
+
+
+def with_carried(batch: pa.RecordBatch, source: pa.RecordBatch) -> pa.RecordBatch:
+    more = [f for f in source.schema if f.name.startswith("carried_")]
+    return pa.RecordBatch.from_arrays([*batch.columns, *(source[f.name] for f in more)], schema=pa.schema([*batch.schema, *more]))
+
+
+def uncarried(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Gives carried columns their names back; a result of the same name goes."""
+    own = [c for c in df.columns if not c.startswith("carried_") and c not in names]
+    return df.select(*own, *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(names)))

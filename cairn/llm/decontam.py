@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import LOWER, NOT_ALNUM, arrow_batch, slices, span_hashes, table, word_spans
+from cairn.llm.common import LOWER, NOT_ALNUM, carried, carried_sql, slices, span_hashes, table, uncarried, word_spans
 from cairn.llm.suffix import find, suffix_array
 
 WINDOW = 10
@@ -119,9 +119,9 @@ def _marker(shared) -> Callable:
     return run
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) x benchmark (item_id, text) -> doc_id, text, n_words, matches: the longest verbatim
-    matches of WINDOW words or more (or of a whole shorter item), as (item_id, first_word, n_words).
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, ...) x benchmark (item_id, text) -> doc_id, text, n_words, matches and the columns to carry. matches: the
+    longest verbatim matches of WINDOW words or more (or of a whole shorter item), as (item_id, first_word, n_words).
 
     One row for each input row. Null or empty texts have no words; null or empty items match nothing.
     A null item_id counts as the item named by the empty text; rows that repeat an item_id are one item."""
@@ -129,15 +129,17 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = size // BLOCK_BYTES + 1
-    out = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    out = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *carried(carry))
+    handed_on = carried_sql(out)
     found = []
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast(Windows([(r.item_id, r.text) for r in rows]))
         kept = ", ".join(f"{c} {MATCH}" for c in found)
-        out = out.mapInArrow(_marker(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary, {kept + ', ' if kept else ''}n_words bigint, found {MATCH}").withColumnRenamed("found", f"found{k}")
+        out = out.mapInArrow(_marker(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary{handed_on}, {kept + ', ' if kept else ''}n_words bigint, found {MATCH}").withColumnRenamed("found", f"found{k}")
         found.append(f"found{k}")
-    return out.select("doc_id", F.col("text").cast("string").alias("text"), "n_words", F.flatten(F.array(*found)).alias("matches"))
+    own = out.select("doc_id", F.col("text").cast("string").alias("text"), "n_words", F.flatten(F.array(*found)).alias("matches"), *(c for c in out.columns if c.startswith("carried_")))
+    return uncarried(own, carry)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -156,8 +158,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id and text of the documents without any match."""
-    return benchmark_matches(docs, benchmark).filter(F.size("matches") == 0).select("doc_id", "text")
+    """The documents without any match, with all their columns."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    return benchmark_matches(docs, benchmark, carry).filter(F.size("matches") == 0).select(*docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import LOWER, arrow_batch, id_bucket, slices, table
+from cairn.llm.common import LOWER, arrow_batch, carried, carried_sql, id_bucket, slices, table, uncarried, with_carried
 
 BUCKETS = 1 << 16
 #: Margins are mean log-odds a trigram; the loss sees them this many times larger.
@@ -118,8 +118,8 @@ def fit(labelled: DataFrame) -> Model:
     return Model(langs, out)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, lang_pred, score, ambiguous; one row for each row.
+def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, lang_pred, score, ambiguous and the columns to carry; one row for each row.
 
     Null texts and texts without a letter are `und` with score 0; so is everything if no language was learned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -130,15 +130,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part, buf, off in slices(batch, "text"):
                 if not m.langs:
-                    yield arrow_batch(PREDICTED, doc_id=part["doc_id"], lang_pred=["und"] * len(part), score=np.zeros(len(part)), ambiguous=np.zeros(len(part), bool))
+                    yield with_carried(arrow_batch(PREDICTED, doc_id=part["doc_id"], lang_pred=["und"] * len(part), score=np.zeros(len(part)), ambiguous=np.zeros(len(part), bool)), part)
                     continue
                 best, score, unclear = m.predict(buf, off)
                 letters = np.array(part["letters"].to_pylist(), bool)
                 lang = np.where(letters, np.array(names.take(pa.array(best)).to_pylist(), object), "und")
-                yield arrow_batch(PREDICTED, doc_id=part["doc_id"], lang_pred=lang.tolist(), score=np.where(letters, score, 0.0), ambiguous=unclear & letters)
+                yield with_carried(arrow_batch(PREDICTED, doc_id=part["doc_id"], lang_pred=lang.tolist(), score=np.where(letters, score, 0.0), ambiguous=unclear & letters), part)
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return narrow.mapInArrow(run, "doc_id bigint, lang_pred string, score double, ambiguous boolean")
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), *carried(carry))
+    return uncarried(narrow.mapInArrow(run, "doc_id bigint, lang_pred string, score double, ambiguous boolean" + carried_sql(narrow)), carry)
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import U64, arrow_batch, mix, slices, span_hashes, staged, table
+from cairn.llm.common import U64, arrow_batch, carried, carried_sql, mix, slices, span_hashes, staged, table, uncarried, with_carried
 from cairn.llm.suffix import bytes_at, common_prefixes, find, suffix_array
 
 LENGTH, ANCHOR = 400, 64
@@ -187,13 +187,14 @@ def _look_up(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, text (binary), spans: the byte ranges (a, b) of `text`, possibly overlapping, whose
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, text (binary), spans and the columns to carry. spans: the byte ranges (a, b) of `text`, possibly overlapping, whose
     strings of `length` bytes also start elsewhere. One row for each row; null text is empty; rows that repeat
     another row's text repeat all its strings."""
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    base = base.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
-    found = staged(base.filter(F.octet_length("text") >= length).mapInArrow(_segments(length), "key bigint, doc_id bigint, start int, n int, anchor bigint, seg bigint, multi boolean"), "segments")
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *carried(carry))
+    handed_on = [c for c in base.columns if c.startswith("carried_")]
+    base = base.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text", *handed_on)
+    found = staged(base.filter(F.octet_length("text") >= length).select("key", "doc_id", "text").mapInArrow(_segments(length), "key bigint, doc_id bigint, start int, n int, anchor bigint, seg bigint, multi boolean"), "segments")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.max("multi").alias("within"))
     anchors = anchors.filter("times > 1 or within").select("anchor", (F.col("within") | (F.col("s0") != F.col("s1"))).alias("sort"))
     candidates = staged(found.drop("multi").join(anchors, "anchor"), "candidates")
@@ -223,7 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     spans = whole.unionByName(parts).groupBy("key", "doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = staged(spans, "spans")
     out = base.join(spans.hint("shuffle_hash"), ["key", "doc_id"], "left")
-    return out.select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "text", "spans")
+    return out.select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "text", "spans", *handed_on)
 
 
 def removed_runs(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -263,12 +264,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
-            yield arrow_batch(KEPT, doc_id=part["doc_id"], text=[kept_bytes(t.as_py(), removed_runs(s.as_py())).decode("utf-8", "ignore") for t, s in zip(part["text"], part["spans"], strict=True)])
+            yield with_carried(arrow_batch(KEPT, doc_id=part["doc_id"], text=[kept_bytes(t.as_py(), removed_runs(s.as_py())).decode("utf-8", "ignore") for t, s in zip(part["text"], part["spans"], strict=True)]), part)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs -> doc_id, text without the repeated strings; bytes of characters of which a part was removed go, too."""
-    return repeated_spans(docs).mapInArrow(_kept, "doc_id bigint, text string")
+    """docs with its columns, text without the repeated strings; bytes of characters of which a part was removed go, too."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    spans = repeated_spans(docs, carry=carry)
+    return uncarried(spans.mapInArrow(_kept, "doc_id bigint, text string" + carried_sql(spans)), carry).select(*docs.columns)
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """All queries over the point-cloud stand-in with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = None
+from cairn.plans import fields, scalars, streams, volumes
+
+QUERIES, SQL = {}, {}
+for module in (fields, scalars, volumes, streams):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
+FLAGSHIP = QUERIES["suggested_region"]

@@ -217,7 +217,7 @@ def packed(volume: DataFrame, box: Box) -> DataFrame:
     """byte_index, byte: the volume as a bit mask, lowest bit first, in the order y, z, x; zero bytes are left out."""
     dx, _, dz = box.dims
     index = (F.col("vy") * dz + F.col("vz")) * dx + F.col("vx")
-    return volume.select(index.alias("i")).groupBy(F.floor(F.col("i") / 8).alias("byte_index")).agg(F.sum(F.shiftleft(F.lit(1), (F.col("i") % 8).cast("int"))).cast("int").alias("byte"))
+    return volume.select(index.alias("i")).groupBy(F.floor(F.col("i") / 8).alias("byte_index")).agg(F.sum(F.expr("shiftleft(1, cast(i % 8 as int))")).cast("int").alias("byte"))
 
 
 def unpacked(mask: DataFrame, box: Box) -> DataFrame:

@@ -147,9 +147,10 @@ def decoded(files: DataFrame, full: bool = False) -> DataFrame:
 
 
 def read_splats(spark: SparkSession, path: str, full: bool = False) -> DataFrame:
-    """Splats of the .ply and .splat files under a path; the extension decides."""
+    """Splats of the .ply and .splat files under a path; the extension of the file, or of the folder
+    that write_ply() gives each, decides."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.col("path").alias("name"), "content").filter(F.lower("name").rlike(r"\.(ply|splat)$"))
+    named = files.select(F.col("path").alias("name"), "content").filter(F.lower("name").rlike(r"\.(ply|splat)(/[^/]*)?$"))
     return decoded(named, full)
 
 
@@ -210,7 +211,7 @@ def encoded(splats: DataFrame, kind: str = "ply", most: int = 1 << 16) -> DataFr
 def write_ply(splats: DataFrame) -> str:
     """PLY files under name=/ in a new shared folder. Spark's text sink ends each with a line feed, which lies past the declared vertices."""
     where = new_folder(splats.sparkSession, "ply")
-    files = encoded(splats, "ply").select(F.regexp_replace("name", r"\.ply$", "").alias("name"), F.col("content").cast("string").alias("value"))
+    files = encoded(splats, "ply").select("name", F.col("content").cast("string").alias("value"))
     files.write.partitionBy("name").text(where)
     return where
 

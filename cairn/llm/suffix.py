@@ -12,7 +12,8 @@ def pack(symbols: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
     key = np.zeros(len(symbols), np.int64)
     for i in range(h):
         key <<= bits
-        key[: len(key) - i] |= symbols[i:] if i else symbols
+        if i < len(key):
+            key[: len(key) - i] |= symbols[i:]
     return key, h
 
 

@@ -23,6 +23,19 @@ from cairn.llm.common import arrow_batch, table
 #: Entries of a worker's tables before they are dropped and filled anew: 100 to 150 MB.
 TABLE_ENTRIES = 400_000
 END = "</w>"
+#: Letters and numbers that are newer than the Unicode version (16) by which the file's pattern splits, and upper-case
+#: letters newer than Python's tables with their lower case.
+NEWER_LETTERS = """
+    558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A
+    11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128
+    1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF
+    2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+NEWER_NUMBERS = """
+    11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6
+"""
+NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEWER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
 
 def default_path() -> str:
@@ -38,6 +51,11 @@ def byte_labels() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def without(group: str, newer: str) -> str:
+    """A set of the pattern's group without the ranges of code points."""
+    return rf"[\p{{{group}}}--[{''.join('-'.join(chr(int(c, 16)) for c in r.split('-')) for r in newer.split())}]]"
+
+
 class Automaton:
     """The deterministic automaton of a merge list, with its table of transitions filled as words ask for them."""
 
@@ -125,7 +143,9 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = self.automaton.labels | {i: t for t, i in self.special.items()}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern.replace(r"\p{L}", without("L", NEWER_LETTERS)).replace(r"\p{N}", without("N", NEWER_NUMBERS)), regex.V1)
+        self.newer_upper = re.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
         self.space = regex.compile(r"\s+")
         self.bytes = byte_labels()
         self.chunks: dict[str, tuple[int, str, str]] = {}
@@ -155,6 +175,8 @@ class Tokenizer:
             if not unicodedata.is_normalized("NFC", part):
                 part = unicodedata.normalize("NFC", part)
             part = part.replace("Σ", "σ").lower()  # each character by itself: no final sigma
+            if not part.isascii() and self.newer_upper.search(part):
+                part = part.translate(NEWER_LOWER)
             odd = not part.isascii() or any(c in part for c in "\x1c\x1d\x1e\x1f")
             get, make = self.chunks.get, self._chunk
             for chunk in self.space.split(part) if odd else part.split():

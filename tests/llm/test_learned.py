@@ -123,3 +123,40 @@ def test_language_model_of_nothing(spark):
     docs = documents(spark, ODD)
     assert lm.score(docs.limit(0), id_bucket("doc_id", 10) == 0).count() == 0
     assert {r["train_tokens"] for r in lm.score(docs, id_bucket("doc_id", 1) == 0).collect()} == {0}
+
+
+def test_short_texts_adapt_their_mixer(monkeypatch):
+    model = lm.Model(np.random.default_rng(0).integers(0, 3, lm.OFFSETS[-1]))
+    text = np.frombuffer((" a river bends" * 20).encode(), np.uint8)
+    adapted = model.scores(text, np.array([0, len(text)]))
+    monkeypatch.setattr(lm, "RATE", 0.0)
+    monkeypatch.setattr(lm, "BIAS_RATE", 0.0)
+    assert len(text) < 512 and model.scores(text, np.array([0, len(text)]))[0] != adapted[0]
+
+
+def test_a_mixer_learns_its_start_by_gate():
+    texts = [np.frombuffer(prose(i, 400).encode(), np.uint8) for i in range(8)]
+    s, at = lm.symbols(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    kinds = lm.codes(s, at)
+    model = lm.Model(np.bincount(s, minlength=256))
+    model.mixed(s, at, kinds, lm.Counts(*lm.tally(np.concatenate(kinds))), learn=True)
+    assert len(np.unique(model.weights)) > lm.GATES and (model.weights != lm.WEIGHT).any() and model.bias.any()
+
+
+def test_contexts_are_kept_apart_however_many():
+    rng = np.random.default_rng(1)
+    text = " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(30_000))
+    buf = np.frombuffer(text.encode(), np.uint8)
+    s, at = lm.symbols(buf, np.array([0, len(buf)]))
+    kinds = lm.codes(s, at)
+    pieces = text.split(" ")
+    want = Counter((w[:i], (w + " ")[i]) for w in pieces[:-1] for i in range(len(w) + 1))  # the last word ends with END
+    x, n = lm.tally(kinds[2][: -len(pieces[-1]) - 1])
+    assert len(want) > 1 << 16 and sorted(n.tolist()) == sorted(want.values())
+    assert lm.Counts(x, n).words(kinds[2][s == 32]).tolist() == [want[w, " "] for w in pieces[:-1]]
+
+
+def test_equal_rows_are_dealt_to_several_groups(spark):
+    rows = spark.range(0, 24, 1, 1).selectExpr("7L doc_id", "cast(repeat('word ', 200000) as binary) text", "true train")
+    groups = rows.mapInArrow(lm._group(1), lm.FIELDS).filter("range = -1").groupBy("part").count().collect()
+    assert sum(r["count"] for r in groups) == 24 and len(groups) > 3

@@ -58,9 +58,10 @@ class Tree:
             return rows
         return (rows[0], *(y for part in (inside, ~inside) for y in (self._build(rows[part]), d[part].min(), d[part].max())))
 
-    def search(self, q: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) pairs among which are the k largest inner products of each query, and all ties of the k-th."""
-        square = (q * q).sum(axis=1)
+    def search(self, q: np.ndarray, k: int, factor: float = 1.0, ids: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs among which are the k largest inner products of each query, and all ties of the k-th.
+        ids of the rows and own ids of the queries: rows of a query's own id, however many, take no part for it."""
+        square, asked = (q * q).sum(axis=1), own
         top = np.full((len(q), k), -np.inf)
         pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -69,7 +70,9 @@ class Tree:
                 return
             if isinstance(node, np.ndarray):
                 s = q[who] @ self.x[node].T
-                i, j = np.nonzero(s >= top[who, :1] - SLACK)
+                if ids is not None:
+                    s[ids[node] == asked[who, None]] = -np.inf
+                i, j = np.nonzero((s >= top[who, :1] - SLACK) & (s > -np.inf))
                 pairs.append((who[i], node[j], s[i, j]))
                 both = np.concatenate((top[who], s), axis=1)
                 kept = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
@@ -100,9 +103,7 @@ def _search(k: int, factor: float):
             return FOUND.empty_table()
         x, q = matrix(rows["v"]), matrix(queries["v"])
         ids, who = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-        i, j = Tree(x).search(q, k + 1, factor)  # one more: a query's own row drops out
-        other = ids[j] != who[i]
-        i, j = i[other], j[other]
+        i, j = Tree(x).search(q, k, factor, ids, who)
         s = inner(q[i], x[j])
         order = np.lexsort((ids[j], -s, i))
         i, j, s = i[order], j[order], s[order]
@@ -117,11 +118,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
     """vectors, queries (vec_id, embedding, ...) -> query_id, rank, vec_id, score: the k vectors of largest inner product.
 
     Vectors that are null, empty or zero, hold null or non-finite components or have no id take no part, and a query
-    meets vectors of its own length only, except those with its own id. A query id that is repeated counts
-    once. Each block of queries meets each shard of rows."""
+    meets vectors of its own length only, except those with its own id. Of a query id that is repeated all rows ask, and
+    the k best of all their pairs are its result. Each block of queries meets each shard of rows."""
     usable = "vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)"
     narrow = lambda df: df.selectExpr("cast(vec_id as bigint) vec_id", "cast(embedding as array<double>) v").filter(usable).withColumn("dim", F.size("v"))
-    rows, asked = narrow(vectors), narrow(queries).dropDuplicates(["vec_id"])
+    rows, asked = narrow(vectors), narrow(queries)
     shards, blocks = rows.count() // SHARD_ROWS + 1, asked.count() // BLOCK_ROWS + 1
     every = lambda n: F.explode(F.array(*[F.lit(i) for i in range(n)]) if n < 50 else F.sequence(F.lit(0), F.lit(n - 1)))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))

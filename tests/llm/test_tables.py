@@ -153,3 +153,17 @@ def test_pipeline_stages_have_an_effect_and_keep_clean_documents(spark, tmp_path
     assert 100 in sizes["language"] and 100 not in sizes["near_duplicates"]
     assert 104 in sizes["repeated_passages"] and 104 not in sizes["benchmark_leaks"]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == sizes["tokens"]
+
+
+def test_neighbours_of_repeated_ids_equal_the_sql(spark, monkeypatch, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 6)]) for i in range(300)]
+    rows += [rows[20]] + [rows[40]] * 29 + [(60, [float(x) for x in rng.integers(-9, 9, 6)])] + [rows[7]] * 24
+    vectors = _vectors(spark, rows)
+    vectors.coalesce(1).write.parquet(str(tmp_path / "v"))
+    duckdb_rows = duckdb.sql(nearest.SQL["op6_nearest"].replace("FROM embeddings", f"FROM '{tmp_path}/v/*.parquet'")).fetchall()
+    for size in (10_000, 100):
+        monkeypatch.setattr(nearest, "SHARD_ROWS", size)
+        got = nearest.nearest(vectors, vectors.filter("vec_id % 20 = 0")).collect()
+        assert sorted(map(tuple, got)) == sorted(duckdb_rows)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,28 +53,28 @@ class Block:
     heading: bool
     region: int  # the article or main element that it stands in, 0 for none
     outside: bool  # in an element around the page's text
+    named: tuple[int, ...] = ()  # the elements around it whose class, id or role is in NAMES
     label: str = ""
 
 
 def _named(attributes: str) -> bool:
-    if HIDDEN.search(attributes):
-        return True
-    return any(w in NAMES for m in NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", "".join(x or "" for x in m.groups()).lower()))
+    return any(w in NAMES for m in NAMED.finditer(attributes) for w in "".join(x or "" for x in m.groups()).lower().split())
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order. Elements that are never closed end with the element around them."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, outside, region
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, outside, region, named elements
     parts: list[str] = []
     linked, links, heading, regions = 0, 0, False, 0
-    outside, region = False, 0
+    outside, region, named, names = False, 0, (), 0
+    unclosed: set[str] = set()  # silent elements that no end follows
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, min(linked, len(text)), heading, region, outside))
+            out.append(Block(text, min(linked, len(text)), heading, region, outside, named))
         parts, linked = [], 0
 
     at = 0
@@ -90,8 +91,16 @@ def blocks(page: str) -> list[Block]:
         closing, attributes = m[1] or m[4], (m[3] or m[6] or "")
         if tag in SILENT and not closing:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:  # ends with the element around it
+                    unclosed.add(tag)
+                    flush()
+                    outside = True
+                    stack.append((tag, True, region, named))
             continue
         if tag == "br":
             parts.append(" ")
@@ -110,6 +119,8 @@ def blocks(page: str) -> list[Block]:
         if closing:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if k >= 0:
+                if any(x[0] in SILENT for x in stack[k:]):
+                    flush()
                 del stack[k:]
         else:
             if tag in HEADINGS:
@@ -121,20 +132,29 @@ def blocks(page: str) -> list[Block]:
             if tag in ("nav", "article", "main", "footer", "aside", "header", "body") and stack:  # paragraphs and inline marks don't hold these
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "li", "ul", "ol"):
                     stack.pop()
-            outer = stack[-1] if stack else ("", False, 0)
+            outer = stack[-1] if stack else ("", False, 0, ())
             inner = outer[2]
             if tag in ("article", "main") or "articleBody" in attributes:
                 regions += 1
                 inner = regions
-            away = outer[1] or tag in AROUND or (tag == "header" and not outer[2]) or (tag not in ("body", "html", "article", "main", "a") and bool(attributes) and _named(attributes))
-            stack.append((tag, away, inner))
-        outside, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            away = outer[1] or tag in AROUND or (tag == "header" and not outer[2])
+            own = outer[3]
+            if attributes and tag not in ("body", "html", "article", "main", "a"):
+                away = away or bool(HIDDEN.search(attributes))
+                if _named(attributes):
+                    names += 1
+                    own = (*own, names)
+            stack.append((tag, away, inner, own))
+        _, outside, region, named = stack[-1] if stack else ("", False, 0, ())
     flush()
     return out
 
 
 def decide(found: list[Block]) -> list[Block]:
-    """Labels all blocks good or bad and returns the good ones."""
+    """Labels all blocks good or bad and returns the good ones.
+
+    A name is a vote only: an element that holds half or more of the text which the other rules take for the page's own is no ad or menu."""
+    text, held = 0, Counter()
     for b in found:
         words = [w.strip(".,;:!?()\"'«»¿¡").lower() for w in b.text.split()]
         stops = sum(w in STOP_WORDS for w in words) / len(words)
@@ -149,6 +169,12 @@ def decide(found: list[Block]) -> list[Block]:
             b.label = "near"
         else:
             b.label = "bad"
+        if b.label in ("good", "near"):
+            text += n
+            held.update(dict.fromkeys(b.named, n))
+    for b in found:
+        if any(2 * held[x] < text or not held[x] for x in b.named):
+            b.outside, b.label = True, "bad"
     first = [b.label for b in found]
     # Blocks around the page's text part what they stand between only where that isn't an article of its own.
     for i, b in enumerate(found):

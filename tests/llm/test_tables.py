@@ -167,3 +167,19 @@ def test_neighbours_of_repeated_ids_equal_the_sql(spark, monkeypatch, tmp_path):
         monkeypatch.setattr(nearest, "SHARD_ROWS", size)
         got = nearest.nearest(vectors, vectors.filter("vec_id % 20 = 0")).collect()
         assert sorted(map(tuple, got)) == sorted(duckdb_rows)
+
+
+LONG_TEXT = "This is the text of the page, and it says what the page is about in a number of words that is long enough for the rules to see that it is one of those which the page was made for, and so it has to stay in what they find."
+
+
+@pytest.mark.parametrize("around", ["<div class='content has-sidebar'>", "<div id='no-ads'>", "<section class='share-prices'>", "<div class='content sidebar'>"])
+def test_names_do_not_overrule_the_text_they_hold(around):
+    ad = "<div class='ad'><p>Buy the best of all things in the shop that is at the end of this street and is open to all.</p></div>"
+    for inner in (f"<p>{LONG_TEXT}</p>", f"<article><p>{LONG_TEXT}</p></article>"):
+        assert html.main_text(f"<body>{around}{inner}{ad}</div></section></body>") == LONG_TEXT
+
+
+@pytest.mark.parametrize("tag", ["svg", "object", "canvas", "audio", "video", "template", "noscript"])
+def test_unclosed_silent_elements_end_with_the_element_around(tag):
+    page = f"<body><div><p>{LONG_TEXT}</p><{tag} width='1'>unseen words</div><p>{LONG_TEXT}</p></body>"
+    assert html.main_text(page) == f"{LONG_TEXT}\n\n{LONG_TEXT}"

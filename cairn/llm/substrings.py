@@ -221,7 +221,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     ranges = ranges.filter("not open").select("anchor", "seg", "a", "b")
     whole = candidates.filter("not sort").select("key", "doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") + (length - 1)).alias("b"))
     parts = candidates.filter("sort").select("anchor", "seg", "key", "doc_id", "start").join(ranges, ["anchor", "seg"]).select("key", "doc_id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (length - 1)).alias("b"))
-    spans = whole.unionByName(parts).groupBy("key", "doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # Rows that repeat doc_id and text bring the same spans; one list of distinct ones serves them all.
+    spans = whole.unionByName(parts).groupBy("key", "doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     spans = staged(spans, "spans")
     out = base.join(spans.hint("shuffle_hash"), ["key", "doc_id"], "left")
     return out.select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "text", "spans", *handed_on)

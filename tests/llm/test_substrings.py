@@ -82,3 +82,13 @@ def test_suffix_array_prefixes_and_search(alphabet):
     lo, hi = find(t, sa, patterns, np.full(len(patterns), 5))
     for p, a, b in zip(patterns, lo, hi, strict=True):
         assert b - a == sum((t[i : i + 5].tolist() == p.tolist()) for i in range(296))
+
+
+def test_equal_rows_share_spans_of_one_document(spark):
+    text = prose(77, 400)
+    sizes = []
+    for times in (2, 60):
+        rows = S.repeated_spans(documents(spark, [(1, text)] * times + [(None, text)] * times)).collect()
+        assert len(rows) == 2 * times
+        sizes.append({len(r["spans"]) for r in rows})
+    assert sizes[0] == sizes[1]

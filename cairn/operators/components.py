@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.sources.tables import staged
+from cairn.sources.tables import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,10 +28,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round is two grouped minima with joins back, so no component is ever gathered in a task,
     and skewed joins on a hot centre are split by adaptive execution. Rounds grow with the logarithm
-    of the longest path; each is written to the shared folder."""
+    of the longest path; each is written to the shared folder, in place of the one before."""
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(most_rounds):
-        now = staged(_star(_star(now, True), False), "edges")
+        before, now = now, staged(_star(_star(now, True), False), "edges")
+        discard(before)
         if _settled(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     raise RuntimeError("components did not settle")

@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set on a single machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -27,10 +29,19 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors. See discard()."""
     where = new_folder(df.sparkSession, what)
     df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    out = df.sparkSession.read.schema(df.schema).parquet(where)
+    out.staged_at = where
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes what staged() wrote for these; no later job may read them."""
+    for df in dfs:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_ordinal(df: DataFrame, keys: list[str], name: str, partitions: int | None = None) -> DataFrame:

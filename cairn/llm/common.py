@@ -1,48 +1,22 @@
-"""Helpers that the operators share: table access, staging in the shared folder, and
-byte-level numpy routines that work on whole Arrow batches inside tasks."""
+"""Helpers that the operators share: byte-level numpy routines that work on whole Arrow batches inside tasks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.sources.tables import discard, new_folder, staged, table  # noqa: F401
+
 U64 = np.uint64
 #: Bytes of text that a task works on at a time; numpy temporaries are a few dozen times that.
 SLICE_BYTES = 1 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    where = new_folder(spark, what)
-    df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
-
-
 def id_bucket(column: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

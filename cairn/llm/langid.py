@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import LOWER, arrow_batch, carried, carried_sql, id_bucket, slices, table, uncarried, with_carried
+from cairn.llm.common import LOWER, SLICE_BYTES, arrow_batch, carried, carried_sql, id_bucket, slices, table, uncarried, with_carried
 
 BUCKETS = 1 << 16
 #: Margins are mean log-odds a trigram; the loss sees them this many times larger.
@@ -42,6 +42,20 @@ def trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, at
 
 
+def bucket_counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How often each bucket occurs in the texts; a text longer than a slice is taken piece by piece."""
+    if len(buf) <= 2 * SLICE_BYTES:
+        return np.bincount(trigrams(buf, off)[0], minlength=BUCKETS)
+    total = np.zeros(BUCKETS, np.int64)
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        for at in range(a, b, SLICE_BYTES):
+            to = min(at + SLICE_BYTES, b)
+            left, right = int(at > a), int(to < b)  # the neighbours' bytes take the place of the spaces around a text
+            x, _ = trigrams(buf[at - left : to + right], np.array([0, to - at + left + right]))
+            total += np.bincount(x[left : left + to - at], minlength=BUCKETS)
+    return total
+
+
 def codewords(n: int) -> np.ndarray:
     """(languages, bits) of +1 and -1: all splits of up to six languages, else 15 random balanced bits a doubling of the languages."""
     if n <= 1:
@@ -80,8 +94,11 @@ class Model:
     def predict(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number, score and ambiguity of each text."""
         n = len(off) - 1
-        x, at = trigrams(buf, off)
-        margin = np.add.reduceat(self.weights[x[: at[-1]]], at[:-1], axis=0) / np.maximum(1, np.diff(off))[:, None] if n else np.zeros((0, 1))
+        if n == 1 and len(buf) > 2 * SLICE_BYTES:
+            margin = (bucket_counts(buf, off) @ self.weights.astype(np.float64) / len(buf))[None]
+        else:
+            x, at = trigrams(buf, off)
+            margin = np.add.reduceat(self.weights[x[: at[-1]]], at[:-1], axis=0) / np.maximum(1, np.diff(off))[:, None] if n else np.zeros((0, 1))
         weight = self.reliability / self.reliability.sum()
         z = SHARPNESS * margin[:, None, :] * self.code[None]
         loss = (np.logaddexp(0, -z) * weight).sum(axis=2)
@@ -101,7 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in dict.fromkeys(langs):
             own = batch.filter(pa.array(langs == lang))
             for _, buf, off in slices(own, "text"):
-                totals[lang] += np.bincount(trigrams(buf, off)[0], minlength=BUCKETS)
+                totals[lang] += bucket_counts(buf, off)
     for lang, total in totals.items():
         at = np.flatnonzero(total)
         yield arrow_batch(COUNTS, lang=[lang] * len(at), bucket=at, n=total[at])
@@ -118,27 +135,31 @@ def fit(labelled: DataFrame) -> Model:
     return Model(langs, out)
 
 
-def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, lang_pred, score, ambiguous and the columns to carry; one row for each row.
+def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, lang_pred, score, ambiguous, the columns to carry and, if asked for, text (empty for null); one row for each row.
 
     Null texts and texts without a letter are `und` with score 0; so is everything if no language was learned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def own(found: pa.RecordBatch, part: pa.RecordBatch) -> pa.RecordBatch:
+        return with_carried(found.append_column("text", part["text"]) if with_text else found, part)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = pa.array(m.langs, pa.string())
         for batch in batches:
             for part, buf, off in slices(batch, "text"):
                 if not m.langs:
-                    yield with_carried(arrow_batch(PREDICTED, doc_id=part["doc_id"], lang_pred=["und"] * len(part), score=np.zeros(len(part)), ambiguous=np.zeros(len(part), bool)), part)
+                    yield own(arrow_batch(PREDICTED, doc_id=part["doc_id"], lang_pred=["und"] * len(part), score=np.zeros(len(part)), ambiguous=np.zeros(len(part), bool)), part)
                     continue
                 best, score, unclear = m.predict(buf, off)
                 letters = np.array(part["letters"].to_pylist(), bool)
                 lang = np.where(letters, np.array(names.take(pa.array(best)).to_pylist(), object), "und")
-                yield with_carried(arrow_batch(PREDICTED, doc_id=part["doc_id"], lang_pred=lang.tolist(), score=np.where(letters, score, 0.0), ambiguous=unclear & letters), part)
+                yield own(arrow_batch(PREDICTED, doc_id=part["doc_id"], lang_pred=lang.tolist(), score=np.where(letters, score, 0.0), ambiguous=unclear & letters), part)
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), *carried(carry))
-    return uncarried(narrow.mapInArrow(run, "doc_id bigint, lang_pred string, score double, ambiguous boolean" + carried_sql(narrow)), carry)
+    out = narrow.mapInArrow(run, "doc_id bigint, lang_pred string, score double, ambiguous boolean" + (", text binary" if with_text else "") + carried_sql(narrow))
+    return uncarried(out.withColumn("text", F.col("text").cast("string")) if with_text else out, carry)
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import zlib
 from collections import Counter
 
@@ -40,6 +41,44 @@ def test_odd_texts_have_a_language_or_none(spark):
     assert langid.predict(docs.limit(0), langid.fit(docs)).count() == 0
 
 
+def counted(text):
+    """Trigrams of a text between two spaces, in the buckets that the operator gives them."""
+    data = b" " + bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()) + b" "
+    codes = (int.from_bytes(data[i : i + 3], "little") for i in range(len(data) - 2))
+    return Counter(max(1, (c * 0x9E3779B1 & 0xFFFFFFFF) >> 16) for c in codes)
+
+
+def brute_language(text, counts):
+    """The codeword of least weighted loss, from dictionaries of trigram counts."""
+    langs, size = sorted(counts), langid.BUCKETS
+    p = [np.array([(counts[x][b] + 0.5) / (counts[x].total() + 0.5 * size) for b in range(size)]) for x in langs]
+    code, own, loss = langid.codewords(len(langs)), counted(text), np.zeros(len(langs))
+    weight, margins = [], []
+    for bit in code.T:
+        one, zero = (np.mean([x for x, c in zip(p, bit, strict=True) if c == side], axis=0) for side in (1, -1))
+        weight.append(1 - np.minimum(one, zero).sum())
+        margins.append(sum(n * math.log(one[b] / zero[b]) for b, n in own.items()) / own.total())
+    for i, word in enumerate(code):
+        loss[i] = sum(w * math.log1p(math.exp(-langid.SHARPNESS * m * c)) for w, m, c in zip(weight, margins, word, strict=True)) / sum(weight)
+    first, second = np.sort(loss)[:2]
+    return langs[int(np.argmin(loss))], 1 / (1 + math.exp(-4 * (second - first)))
+
+
+def test_equals_dictionaries_of_trigrams(spark):
+    r = random.Random(3)
+    letters = {"aa": "abcdefgh ", "bb": "efghijkl ", "cc": "ijklmnab É"}
+    said = lambda lang, n: "".join(r.choice(letters[lang]) for _ in range(n)) + "x"
+    taught = [(i, said(lang, 300), lang) for i, lang in enumerate([*letters] * 4)]
+    asked = [(100 + i, said(lang, 5 + 40 * i), None) for i, lang in enumerate([*letters] * 3)]
+    asked.append((200, said("aa", 5 * langid.SLICE_BYTES // 2), None))  # taken piece by piece
+    counts = {lang: sum((counted(t) for _, t, own in taught if own == lang), Counter()) for lang in letters}
+    docs = spark.createDataFrame(taught + asked, "doc_id long, text string, lang string")
+    rows = {x["doc_id"]: x for x in langid.predict(docs, langid.fit(docs)).collect()}
+    for i, text, _ in asked:
+        lang, score = brute_language(text, counts)
+        assert rows[i]["lang_pred"] == lang and abs(rows[i]["score"] - score) < 1e-4
+
+
 def test_toxic_held_out_documents(spark):
     truth = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{SF}/labels.parquet'").fetchall())
     rows = [r for r in toxicity.op2_toxicity(spark, SF).collect() if r["held_out"] and r["doc_id"] in truth]

@@ -15,9 +15,10 @@ from cairn.llm.common import id_bucket, staged, table
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that can be told; those without letters or between two languages go."""
     learned = langid.fit(docs.filter(id_bucket("doc_id", langid.FOLDS) != langid.HELD_OUT).select("text", "lang"))
-    own = docs.withColumn("original", F.struct(*docs.columns))
-    found = langid.predict(own, learned, carry=("original",))
-    return found.filter("lang_pred <> 'und' and not ambiguous").select("original.*")
+    others = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    own = docs.select("doc_id", "text", *(F.col(c).alias(name) for c, name in others.items()))
+    found = langid.predict(own, learned, tuple(others.values()), with_text=True).filter("lang_pred <> 'und' and not ambiguous")
+    return found.select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

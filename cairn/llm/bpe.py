@@ -1,10 +1,11 @@
 """BPE encoding and decoding by a token automaton.
 
-States are tokens: the automaton is in the state of the token it read last. Merges are compiled in
-order; each adds a gadget that makes the merged token a state and forbids its two parts from
-following each other wherever both still stand when the merge is due. A sequence of tokens is what
-BPE would produce exactly if the automaton accepts it, and each word has one such sequence, so that
-encoding is a walk over table entries (state, token). Decoding emits the labels of the arcs."""
+The automaton reads tokens; its state is what the last token leaves open. At first there is one state, from which
+every symbol leads back to it. Each merge adds a gadget: the state behind its left part is copied without the arc of its
+right part, the left part leads to the copy, and the merged token gets an arc wherever the left part has one, to the
+state behind the right part. All tokens of a name lead to one state, so that the automaton is deterministic, and each
+string has exactly one path, the one that BPE takes. A word is encoded from left to right: of each prefix the one
+token in which its path ends is found by the table's entries, and the last prefix is the word. Decoding emits the labels of the arcs."""
 
 from __future__ import annotations
 
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import arrow_batch, table
 
-#: Entries of a worker's tables before they are dropped and filled anew: 100 to 150 MB.
-TABLE_ENTRIES = 400_000
+#: Stretches of text whose tokens a task keeps for the next time, twice (the ones before these, too): some 80 MB.
+KEPT_CHUNKS = 200_000
 END = "</w>"
 #: Letters and numbers that are newer than the Unicode version (16) by which the file's pattern splits, and upper-case
 #: letters newer than Python's tables with their lower case.
@@ -57,79 +58,74 @@ def without(group: str, newer: str) -> str:
 
 
 class Automaton:
-    """The deterministic automaton of a merge list, with its table of transitions filled as words ask for them."""
+    """The deterministic automaton of a merge list.
+
+    A state is (token, time): what stands behind the token once the merges up to that time are compiled. Its table is
+    kept as what the gadgets changed: the arc that each took (by left part and arc), when each token came and from which parts."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
         self.ids = vocabulary
         self.labels = {i: t for t, i in vocabulary.items()}
-        self.trie: dict = {}  # by byte label; "" holds the token that ends there without closing the word
+        size = max(vocabulary.values(), default=0) + 1
+        self.came, self.left, self.right = [-1] * (size + 1), [-1] * size, [-1] * size
+        self.start, self.never = size, len(merges)  # nothing was taken from the state at a word's start
+        self.taken: dict[int, int] = {}
+        for time, (a, b) in enumerate(merges):
+            self._gadget(vocabulary[a], vocabulary[b], vocabulary[a + b], time)
+        #: Labels of the tokens that don't end a word, with what they begin with: their number, or -1.
+        self.open: dict[str, int] = {}
         for t, i in vocabulary.items():
-            node = self.trie
-            for c in t.removesuffix(END):
-                node = node.setdefault(c, {})
-            if not t.endswith(END):
-                node[""] = i
-        never = len(merges)
-        # Of each token, the tokens at its right and left edge with the rank at which each is taken up.
-        self.right: dict[int, list[tuple[int, int]]] = {i: [(i, never)] for i in vocabulary.values()}
-        self.left: dict[int, list[tuple[int, int]]] = {i: [(i, never)] for i in vocabulary.values()}
-        self.due: dict[int, int] = {}
-        for rank, (a, b) in enumerate(merges):
-            self._gadget(vocabulary[a], vocabulary[b], vocabulary[a + b], rank)
-        self.table: dict[int, bool] = {}
-
-    def _gadget(self, a: int, b: int, merged: int, rank: int) -> None:
-        self.due.setdefault(a << 32 | b, rank)
-        self.right[merged] = [(merged, self.right[merged][0][1]), (b, rank), *self.right[b][1:]]
-        self.left[merged] = [(merged, self.left[merged][0][1]), (a, rank), *self.left[a][1:]]
-
-    def follows(self, state: int, token: int) -> bool:
-        """The table entry: whether an arc leads from the state on the token."""
-        key = state << 32 | token
-        if (known := self.table.get(key)) is None:
-            known = not any((rank := self.due.get(x << 32 | y)) is not None and rank < until_x and rank <= until_y for x, until_x in self.right[state] for y, until_y in self.left[token])
-            if len(self.table) >= TABLE_ENTRIES:
-                self.table.clear()
-            self.table[key] = known
-        return known
+            name = t.removesuffix(END)
+            for k in range(1, len(name) + 1):
+                self.open.setdefault(name[:k], -1)
+            if name == t:
+                self.open[t] = i
+
+    def _gadget(self, a: int, b: int, merged: int, time: int) -> None:
+        if self.came[merged] >= 0 or a << 32 | b in self.taken:
+            raise ValueError("a merge must make a token of its own")
+        self.taken[a << 32 | b] = time
+        self.came[merged], self.left[merged], self.right[merged] = time, a, b
+
+    def arc(self, state: int, token: int) -> bool:
+        """The table's entry: whether the token has an arc from the state behind the token `state`."""
+        came, taken, until, none = self.came, self.taken, self.never, self.never + 1
+        while True:
+            time = came[token]
+            while True:  # back to the states that were there when the token came
+                if taken.get(state << 32 | token, none) <= until:
+                    return False
+                if came[state] <= time:
+                    break
+                until = came[state] - 1
+                state = self.right[state]
+            if time < 0:
+                return True
+            until = min(until, time)  # there it has an arc where its left part has one
+            token = self.left[token]
 
     def word(self, s: str) -> list[int]:
-        """The tokens of a pre-split word given in byte labels: the one path from its start to its end."""
-        n, ids, table, follows, trie = len(s), self.ids, self.table, self.follows, self.trie
+        """The tokens of a pre-split word given in byte labels."""
+        n, ids, opened, arc = len(s), self.ids, self.open, self.arc
         if (whole := ids.get(s + END)) is not None:
-            return [whole]  # its own merges end in it: nothing else can be accepted
-        path: list[int] = []
-        at, state, fresh = 0, -1, True
-        stack: list[tuple[int, int, list]] = []
-        dead: set[tuple[int, int]] = set()
-        options: list[tuple[int, int]] = []
-        while at < n:
-            if fresh:  # the tokens that start here, the longest last
-                options, node, to = [], trie, at
-                while to < n and (node := node.get(s[to])) is not None:
-                    to += 1
-                    if to == n:
-                        if (t := ids.get(s[at:] + END)) is not None:
-                            options.append((t, to))
-                    elif (t := node.get("")) is not None:
-                        options.append((t, to))
-            while options:
-                t, to = options.pop()
-                if state < 0 or table.get(state << 32 | t) or follows(state, t):
-                    if not dead or (to, t) not in dead:
-                        break
-            else:
-                if not stack:
-                    raise ValueError("a symbol of this word isn't in the vocabulary")
-                dead.add((at, state))
-                at, state, options = stack.pop()
-                path.pop()
-                fresh = False
-                continue
-            stack.append((at, state, options))
-            path.append(t)
-            at, state, fresh = to, t, True
-        return path
+            return [whole]  # an arc from the start: the one path
+        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        last[0] = self.start
+        for at in range(n):
+            state, to = last[at], at + 1
+            while to < n and (t := opened.get(s[at:to])) is not None:
+                if t >= 0 and last[to] < 0 and arc(state, t):
+                    last[to], begin[to] = t, at
+                to += 1
+            if to == n and last[n] < 0 and (t := ids.get(s[at:] + END)) is not None and arc(state, t):
+                last[n], begin[n] = t, at
+        path = []
+        while n:
+            if last[n] < 0:
+                raise ValueError("a symbol of this word isn't in the vocabulary")
+            path.append(last[n])
+            n = begin[n]
+        return path[::-1]
 
 
 class Tokenizer:
@@ -148,29 +144,31 @@ class Tokenizer:
         self.newer_upper = re.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
         self.space = regex.compile(r"\s+")
         self.bytes = byte_labels()
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        """Number, ids and labels of the tokens of a stretch without white space; kept for the next time unless it is long."""
-        pieces = [chunk] if chunk.isalpha() else self.pieces.findall(chunk)
-        if pieces == [chunk]:
-            ids = self.automaton.word("".join(map(self.bytes.__getitem__, chunk.encode())))
-            entry = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        else:
-            own = [self.chunks.get(p) or self._chunk(p) for p in pieces]
-            entry = (sum(e[0] for e in own), " ".join([e[1] for e in own]), " ".join([e[2] for e in own]))
+        self.names = {str(i): t for i, t in self.labels.items()}
+        self.chunks: dict[str, str] = {}
+        self.older: dict[str, str] = {}  # a generation before
+
+    def _chunk(self, chunk: str) -> str:
+        """The ids of the tokens of a stretch without white space, spaces between them; kept for the next time unless it is long."""
+        if (entry := self.older.get(chunk)) is None:
+            pieces = [chunk] if chunk.isalpha() else self.pieces.findall(chunk)
+            if pieces == [chunk]:
+                entry = " ".join(map(str, self.automaton.word("".join(map(self.bytes.__getitem__, chunk.encode())))))
+            else:
+                entry = " ".join([self.chunks.get(p) or self._chunk(p) for p in pieces])
         if len(chunk) < 100:
-            if len(self.chunks) >= TABLE_ENTRIES:
+            if len(self.chunks) >= KEPT_CHUNKS:
+                self.older = self.chunks.copy()
                 self.chunks.clear()
             self.chunks[chunk] = entry
         return entry
 
-    def entries(self, text: str) -> Iterator[tuple[int, str, str]]:
-        """Number, ids and labels of the tokens of each stretch of text between white space."""
+    def entries(self, text: str) -> Iterator[str]:
+        """The ids of the tokens of each stretch of text between white space; empty for stretches of no token."""
         parts = self.special_split.split(text) if self.special_split and "<|" in text else [text]
         for i, part in enumerate(parts):
             if i % 2:
-                yield 1, str(self.special[part]), part
+                yield str(self.special[part])
                 continue
             if not unicodedata.is_normalized("NFC", part):
                 part = unicodedata.normalize("NFC", part)
@@ -184,7 +182,11 @@ class Tokenizer:
                     yield get(chunk) or make(chunk)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for n, ids, _ in self.entries(text) if n for i in ids.split()]
+        return [int(i) for ids in self.entries(text) for i in ids.split()]
+
+    def forget(self) -> None:
+        """Drops what was kept, at the end of a task."""
+        self.chunks, self.older = {}, {}
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the ids; the file names no decoder, which joins them by spaces."""
@@ -245,11 +247,13 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             rows: tuple[list, list, list] = ([], [], [])
             for x in batch["text"]:
-                found = [e for e in t.entries(x.as_py() or "") if e[0]]
-                rows[0].append(sum(e[0] for e in found))
-                rows[1].append(hashlib.sha256(" ".join([e[1] for e in found]).encode()).hexdigest())
-                rows[2].append(hashlib.sha256(" ".join([e[2] for e in found]).encode()).hexdigest())
+                ids = " ".join(filter(None, t.entries(x.as_py() or "")))
+                tokens = ids.split()
+                rows[0].append(len(tokens))
+                rows[1].append(hashlib.sha256(ids.encode()).hexdigest())
+                rows[2].append(hashlib.sha256(" ".join(map(t.names.__getitem__, tokens)).encode()).hexdigest())
             yield arrow_batch(DIGESTS, doc_id=batch["doc_id"], n_tokens=rows[0], ids_sha256=rows[1], decoded_sha256=rows[2])
+        t.forget()
 
     return _narrow(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

@@ -20,7 +20,7 @@ BUCKETS, STEM = 1 << 18, 4
 #: The classifier learns from this many labelled rows at most, those with the smallest hashes of their ids.
 MAX_LABELS = 200_000
 #: The prior's weight as a share of the labelled tokens; least z and log-odds of a token that scores; cost of any other token.
-PRIOR, LEAST_Z, LEAST_ODDS, COST = 0.02, 2.0, 3.0, 0.05
+PRIOR, LEAST_Z, LEAST_ODDS, COST = 0.02, 2.0, 2.0, 0.05
 #: Learning folds: rows whose crc32(doc_id) mod 5 is 0 are held out.
 FOLDS = 5
 COUNTS = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("n", pa.int64())])

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,26 +66,3 @@ def evicted(entries: DataFrame, budget: int) -> DataFrame:
     order = Window.partitionBy("owner").orderBy("last_access", "key").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("bytes").over(Window.partitionBy("owner"))
     return entries.withColumn("left", total - F.coalesce(F.sum("bytes").over(order), F.lit(0))).filter(F.col("left") > budget).drop("left")
-
-
-WALKED = "session long, tick long, x double, z double, stuck boolean"
-
-
-def walk(ticks: DataFrame, low: float, high: float, speed: float = 0.6, patience: float = 0.6) -> DataFrame:
-    """session, tick, x, z, stuck: positions of walkers that move by (dx, dz) within a square room, sliding along its walls; stuck after
-    `patience` seconds slower than `speed`. ticks: session, tick, dx, dz, seconds; a session's ticks run in order, its state between batches is three numbers."""
-
-    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        x, z, slow = state.get if state.exists else (0.0, 0.0, 0.0)
-        for rows in frames:
-            out = []
-            for r in rows.sort_values("tick").itertuples():
-                nx, nz = min(max(x + r.dx, low), high), min(max(z + r.dz, low), high)
-                gone = math.hypot(nx - x, nz - z)
-                slow = slow + r.seconds if gone < speed * r.seconds else 0.0
-                x, z = nx, nz
-                out.append((key[0], r.tick, x, z, slow >= patience))
-            yield pd.DataFrame(out, columns=["session", "tick", "x", "z", "stuck"])
-        state.update((x, z, slow))
-
-    return ticks.groupBy("session").applyInPandasWithState(run, WALKED, "x double, z double, slow double", "append", "NoTimeout")

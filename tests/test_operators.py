@@ -242,14 +242,3 @@ def test_pauses_on_a_stream_equal_those_of_a_batch(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("paused").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(map(tuple, spark.table("paused").collect())) == sorted(map(tuple, lod.pauses(rows, "600 milliseconds").collect()))
-
-
-def test_walkers_slide_and_get_stuck(spark, tmp_path):
-    ticks = spark.range(8).select(F.lit(1).cast("long").alias("session"), F.col("id").alias("tick"), F.lit(0.5).alias("dx"), F.lit(0.1).alias("dz"), F.lit(0.25).alias("seconds"))
-    ticks.coalesce(1).write.parquet(str(tmp_path / "ticks"))
-    out = lod.walk(spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "ticks")), -1.0, 1.0)
-    query = out.writeStream.format("memory").queryName("walked").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(60)
-    rows = spark.table("walked").orderBy("tick").collect()
-    assert [r["x"] for r in rows] == [0.5, 1.0] + [1.0] * 6 and abs(rows[-1]["z"] - 0.8) < 1e-9
-    assert [r["stuck"] for r in rows] == [False] * 4 + [True] * 4

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import arrow_batch, table
 
-#: Stretches of text whose tokens a task keeps for the next time, twice (the ones before these, too): some 80 MB.
+#: Stretches of text whose tokens a worker keeps for the next time, twice (the ones before these, too): some 80 MB.
 KEPT_CHUNKS = 200_000
 END = "</w>"
 #: Letters and numbers that are newer than the Unicode version (16) by which the file's pattern splits, and upper-case
@@ -184,10 +184,6 @@ class Tokenizer:
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids in self.entries(text) for i in ids.split()]
 
-    def forget(self) -> None:
-        """Drops what was kept, at the end of a task."""
-        self.chunks, self.older = {}, {}
-
     def decode(self, ids: list[int]) -> str:
         """The labels of the ids; the file names no decoder, which joins them by spaces."""
         return " ".join(map(self.labels.__getitem__, ids))
@@ -253,7 +249,6 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows[1].append(hashlib.sha256(ids.encode()).hexdigest())
                 rows[2].append(hashlib.sha256(" ".join(map(t.names.__getitem__, tokens)).encode()).hexdigest())
             yield arrow_batch(DIGESTS, doc_id=batch["doc_id"], n_tokens=rows[0], ids_sha256=rows[1], decoded_sha256=rows[2])
-        t.forget()
 
     return _narrow(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

@@ -1,11 +1,15 @@
 """BPE encoding and decoding by a token automaton.
 
-The automaton reads tokens; its state is what the last token leaves open. At first there is one state, from which
+The automaton of tokens: its state is what the last token leaves open. At first there is one state, from which
 every symbol leads back to it. Each merge adds a gadget: the state behind its left part is copied without the arc of its
 right part, the left part leads to the copy, and the merged token gets an arc wherever the left part has one, to the
 state behind the right part. All tokens of a name lead to one state, so that the automaton is deterministic, and each
-string has exactly one path, the one that BPE takes. A word is encoded from left to right: of each prefix the one
-token in which its path ends is found by the table's entries, and the last prefix is the word. Decoding emits the labels of the arcs."""
+string has exactly one path, the one that BPE takes.
+
+Words are read byte by byte by the automaton that follows from it: a state holds the token in which the path of what has
+been read ends, and of each place from which a longer token may still come the last token before it. Its table is filled
+in as texts ask for it. A word is encoded by one walk over its bytes and the end, without backtracking; the tokens are
+those that the states name, from the last back to the first. Decoding emits the labels of the arcs."""
 
 from __future__ import annotations
 
@@ -19,11 +23,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import arrow_batch, table
+from cairn.llm.common import arrow_batch, small_batches, table
 
-#: Stretches of text whose tokens a worker keeps for the next time, twice (the ones before these, too): some 80 MB.
-KEPT_CHUNKS = 200_000
+#: Stretches of text whose tokens a worker keeps for the next time, twice (the ones before these, too): some 40 MB.
+KEPT_CHUNKS = 100_000
+#: Rows of the table that a worker keeps before it starts anew: some 130 MB.
+KEPT_STATES = 200_000
 END = "</w>"
+WORD_END = 256  # the symbol after a word's bytes
 #: Letters and numbers that are newer than the Unicode version (16) by which the file's pattern splits, and upper-case
 #: letters newer than Python's tables with their lower case.
 NEWER_LETTERS = """
@@ -57,29 +64,54 @@ def without(group: str, newer: str) -> str:
     return rf"[\p{{{group}}}--[{''.join('-'.join(chr(int(c, 16)) for c in r.split('-')) for r in newer.split())}]]"
 
 
+class State(dict):
+    """A row of the table: symbol -> State. token: in which what has been read ends, and its length; opened: of each
+    place from which a token may go on, the last token before it << 32 | the node of what has been read since."""
+
+    __slots__ = ("automaton", "token", "length", "opened")
+
+    def __init__(self, automaton: Automaton, token: int, length: int, opened: tuple[int, ...]):
+        self.automaton, self.token, self.length, self.opened = automaton, token, length, opened
+
+    def __missing__(self, symbol: int) -> State:
+        self[symbol] = to = self.automaton.step(self, symbol)
+        return to
+
+
 class Automaton:
     """The deterministic automaton of a merge list.
 
-    A state is (token, time): what stands behind the token once the merges up to that time are compiled. Its table is
-    kept as what the gadgets changed: the arc that each took (by left part and arc), when each token came and from which parts."""
+    A state of the automaton of tokens is (token, time): what stands behind the token once the merges up to that time are
+    compiled. It is kept as what the gadgets changed: the arc that each took (by left part and arc), when each token came
+    and from which parts."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
-        self.ids = vocabulary
         self.labels = {i: t for t, i in vocabulary.items()}
         size = max(vocabulary.values(), default=0) + 1
         self.came, self.left, self.right = [-1] * (size + 1), [-1] * size, [-1] * size
-        self.start, self.never = size, len(merges)  # nothing was taken from the state at a word's start
+        self.never = len(merges)
         self.taken: dict[int, int] = {}
         for time, (a, b) in enumerate(merges):
             self._gadget(vocabulary[a], vocabulary[b], vocabulary[a + b], time)
-        #: Labels of the tokens that don't end a word, with what they begin with: their number, or -1.
-        self.open: dict[str, int] = {}
+        #: A tree of the tokens' symbols: node << 9 | symbol -> node; the token that each node completes, or -1.
+        self.nodes: dict[int, int] = {}
+        self.completed, self.goes_on = [-1], [False]
+        symbols = {label: b for b, label in enumerate(byte_labels())}
         for t, i in vocabulary.items():
             name = t.removesuffix(END)
-            for k in range(1, len(name) + 1):
-                self.open.setdefault(name[:k], -1)
-            if name == t:
-                self.open[t] = i
+            if len(name) != 1 and self.came[i] < 0 or not all(c in symbols for c in name):
+                continue  # no merge makes it
+            node = 0
+            for s in [*map(symbols.__getitem__, name), *[WORD_END] * (name != t)]:
+                if (to := self.nodes.get(node << 9 | s)) is None:
+                    to = self.nodes[node << 9 | s] = len(self.completed)
+                    self.completed.append(-1)
+                    self.goes_on.append(False)
+                    self.goes_on[node] = True
+                node = to
+            self.completed[node] = i
+        self.known: dict[tuple, State] = {}
+        self.start = State(self, -1, 0, (size << 32,))  # nothing was taken from the token before a word's start
 
     def _gadget(self, a: int, b: int, merged: int, time: int) -> None:
         if self.came[merged] >= 0 or a << 32 | b in self.taken:
@@ -88,7 +120,7 @@ class Automaton:
         self.came[merged], self.left[merged], self.right[merged] = time, a, b
 
     def arc(self, state: int, token: int) -> bool:
-        """The table's entry: whether the token has an arc from the state behind the token `state`."""
+        """Whether the token has an arc from the state behind the token `state`."""
         came, taken, until, none = self.came, self.taken, self.never, self.never + 1
         while True:
             time = came[token]
@@ -104,27 +136,37 @@ class Automaton:
             until = min(until, time)  # there it has an arc where its left part has one
             token = self.left[token]
 
-    def word(self, s: str) -> list[int]:
-        """The tokens of a pre-split word given in byte labels."""
-        n, ids, opened, arc = len(s), self.ids, self.open, self.arc
-        if (whole := ids.get(s + END)) is not None:
-            return [whole]  # an arc from the start: the one path
-        last, begin = [-1] * (n + 1), [0] * (n + 1)
-        last[0] = self.start
-        for at in range(n):
-            state, to = last[at], at + 1
-            while to < n and (t := opened.get(s[at:to])) is not None:
-                if t >= 0 and last[to] < 0 and arc(state, t):
-                    last[to], begin[to] = t, at
-                to += 1
-            if to == n and last[n] < 0 and (t := ids.get(s[at:] + END)) is not None and arc(state, t):
-                last[n], begin[n] = t, at
-        path = []
-        while n:
-            if last[n] < 0:
-                raise ValueError("a symbol of this word isn't in the vocabulary")
-            path.append(last[n])
-            n = begin[n]
+    def step(self, state: State, symbol: int) -> State:
+        """The table's entry: where the symbol leads from the state. One token ends here, as every string has one path."""
+        token, length, opened = -1, 0, []
+        for place in state.opened:
+            if (to := self.nodes.get((place & 0xFFFFFFFF) << 9 | symbol)) is not None:
+                if self.goes_on[to]:
+                    opened.append(place >> 32 << 32 | to)
+                if token < 0 and (t := self.completed[to]) >= 0 and self.arc(place >> 32, t):
+                    token, length = t, len(self.labels[t].removesuffix(END))
+        if token < 0:
+            raise ValueError("a symbol of this word isn't in the vocabulary")
+        key = (token, length) if symbol == WORD_END else (token, length, *opened)
+        if (to := self.known.get(key)) is None:
+            if len(self.known) >= KEPT_STATES:
+                self.known.clear()
+                self.start.clear()  # a walk goes on over the rows that it holds
+            to = self.known[key] = State(self, token, length, () if symbol == WORD_END else (*opened, token << 32))
+        return to
+
+    def word(self, symbols: bytes) -> list[int]:
+        """The tokens of a pre-split word, not empty."""
+        state, walk = self.start, []
+        for s in symbols:
+            state = state[s]
+            walk.append(state)
+        state = state[WORD_END]
+        path, at = [state.token], len(walk) - state.length
+        while at:
+            state = walk[at - 1]
+            path.append(state.token)
+            at -= state.length
         return path[::-1]
 
 
@@ -143,7 +185,6 @@ class Tokenizer:
         self.pieces = regex.compile(pattern.replace(r"\p{L}", without("L", NEWER_LETTERS)).replace(r"\p{N}", without("N", NEWER_NUMBERS)), regex.V1)
         self.newer_upper = re.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
         self.space = regex.compile(r"\s+")
-        self.bytes = byte_labels()
         self.names = {str(i): t for i, t in self.labels.items()}
         self.chunks: dict[str, str] = {}
         self.older: dict[str, str] = {}  # a generation before
@@ -153,7 +194,7 @@ class Tokenizer:
         if (entry := self.older.get(chunk)) is None:
             pieces = [chunk] if chunk.isalpha() else self.pieces.findall(chunk)
             if pieces == [chunk]:
-                entry = " ".join(map(str, self.automaton.word("".join(map(self.bytes.__getitem__, chunk.encode())))))
+                entry = " ".join(map(str, self.automaton.word(chunk.encode())))
             else:
                 entry = " ".join([self.chunks.get(p) or self._chunk(p) for p in pieces])
         if len(chunk) < 100:
@@ -219,7 +260,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield arrow_batch(ENCODED, doc_id=part["doc_id"], ids=[t.encode(x or "") for x in part["text"].to_pylist()])
 
-    return _narrow(docs).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return small_batches(_narrow(docs)).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -232,7 +273,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield arrow_batch(DECODED, doc_id=part["doc_id"], text=[t.decode(x or []) for x in part["ids"].to_pylist()])
 
-    return encoded.selectExpr("cast(doc_id as bigint) doc_id", "cast(ids as array<int>) ids").mapInArrow(run, "doc_id bigint, text string")
+    return small_batches(encoded.selectExpr("cast(doc_id as bigint) doc_id", "cast(ids as array<int>) ids")).mapInArrow(run, "doc_id bigint, text string")
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -250,7 +291,7 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows[2].append(hashlib.sha256(" ".join(map(t.names.__getitem__, tokens)).encode()).hexdigest())
             yield arrow_batch(DIGESTS, doc_id=batch["doc_id"], n_tokens=rows[0], ids_sha256=rows[1], decoded_sha256=rows[2])
 
-    return _narrow(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return small_batches(_narrow(docs)).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

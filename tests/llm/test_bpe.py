@@ -53,6 +53,7 @@ def test_documents_encode_as_the_library_does(spark, library):
 
 def test_tables_of_bounded_size_change_nothing(monkeypatch, library):
     monkeypatch.setattr(B, "KEPT_CHUNKS", 3)
+    monkeypatch.setattr(B, "KEPT_STATES", 2)
     t = B.Tokenizer(B.default_path())
     for text in ("antidisestablishmentarianism and other unreasonable words", "supercalifragilisticexpialidocious words"):
         assert t.encode(text) == expected(library, text)[0]

@@ -15,6 +15,17 @@ from cairn.sources.tables import discard, new_folder, staged, table  # noqa: F40
 U64 = np.uint64
 #: Bytes of text that a task works on at a time; numpy temporaries are a few dozen times that.
 SLICE_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to Python in one Arrow batch (a longer row stands alone); its own bound is 64 MB, and a task holds several batches.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have BATCH_BYTES at most."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(df.sparkSession.conf.get(name).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def id_bucket(column: str, mod: int) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import U64, arrow_batch, carried, carried_sql, mix, slices, span_hashes, staged, table, uncarried, with_carried
+from cairn.llm.common import U64, arrow_batch, carried, carried_sql, mix, slices, small_batches, span_hashes, staged, table, uncarried, with_carried
 from cairn.llm.suffix import bytes_at, common_prefixes, find, suffix_array
 
 LENGTH, ANCHOR = 400, 64
@@ -194,7 +194,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *carried(carry))
     handed_on = [c for c in base.columns if c.startswith("carried_")]
     base = base.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text", *handed_on)
-    found = staged(base.filter(F.octet_length("text") >= length).select("key", "doc_id", "text").mapInArrow(_segments(length), "key bigint, doc_id bigint, start int, n int, anchor bigint, seg bigint, multi boolean"), "segments")
+    found = staged(small_batches(base.filter(F.octet_length("text") >= length).select("key", "doc_id", "text")).mapInArrow(_segments(length), "key bigint, doc_id bigint, start int, n int, anchor bigint, seg bigint, multi boolean"), "segments")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.max("multi").alias("within"))
     anchors = anchors.filter("times > 1 or within").select("anchor", (F.col("within") | (F.col("s0") != F.col("s1"))).alias("sort"))
     candidates = staged(found.drop("multi").join(anchors, "anchor"), "candidates")

@@ -5,7 +5,7 @@ is a piece, ordered by the piece's score and then by place; the best pair become
 neighbours come onto the agenda, until it is empty. Symbols that are no pieces are spelled in bytes.
 
 No merge crosses two characters that stand side by side in no piece. There texts are cut, and the tokens of frequent
-stretches are kept. Of every Arrow batch, the stretches that weren't kept are checked against the sentencepiece library."""
+stretches are kept. The agendas of a batch's short new stretches are worked off side by side, in arrays. Of every Arrow batch, the stretches that weren't kept are checked against the sentencepiece library."""
 
 from __future__ import annotations
 
@@ -16,17 +16,20 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import arrow_batch, small_batches, table
 
-#: Stretches of text whose tokens a worker keeps for the next time, twice (the ones before these, too): some 200 MB.
-KEPT = 300_000
+#: Stretches of text whose tokens a worker keeps for the next time, twice (the ones before these, too): some 250 MB.
+KEPT = 400_000
 #: Characters up to which a stretch isn't cut further.
 SHORT = 40
 #: An agenda's entry is the rank of a piece above 40 bits of place.
 PLACE = (1 << 40) - 1
+#: Rank of a pair that is no piece, and the symbol of a character that has become part of one before.
+NEVER, GONE = 1 << 30, -2
 #: The sign for a space; kinds of pieces and of models in the file.
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -102,6 +105,8 @@ class Pieces:
         self.rank = {p: order[s] << 40 for p, s in scores.items()}
         self.beside = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.by_words = not any(b == " " != a for a, b in self.beside)
+        self.names = list(map(str, range(len(self.labels))))
+        self._tables()
         self.kept: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
         self.made: list[tuple[str, str]] = []  # stretches and ids that the library hasn't seen yet
@@ -127,6 +132,91 @@ class Pieces:
                 heappush(agenda, rank[p] + start)
         return [s for s in symbols if s]
 
+    def _tables(self) -> None:
+        """Symbols as numbers (a piece's is its id; other characters of pieces come behind), and the pairs that make a piece in order of
+        their numbers."""
+        names = [*self.ids]
+        number = dict(self.ids)
+        size = len(self.labels)
+        for c in sorted({c for p in names for c in p} - self.ids.keys()):
+            number[c] = size
+            size += 1
+        made = [(number[p[:i]] * size + number[p[i:]], self.rank[p] >> 40, number[p]) for p in names for i in range(1, len(p)) if p[:i] in number and p[i:] in number]
+        made.sort()
+        self.size = size
+        self.pairs, self.pair_rank, self.pair_symbol = (np.array(x, np.int64) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64),) * 3
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for c, i in number.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = i
+
+    def _met(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (NEVER where there is none) and symbols of the pieces that pairs make."""
+        key = np.where((left < 0) | (right < 0), -1, left * self.size + right)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_rank[at], NEVER), self.pair_symbol[at]
+
+    def side_by_side(self, stretches: list[str]) -> tuple[list[int], list[int]]:
+        """tokens() of stretches that aren't empty, and where each one's end: in each round every one takes the best pair off its agenda, the first of several."""
+        lengths = np.array([len(s) for s in stretches], np.int64)
+        code = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)
+        symbol = self.symbol_of[code].astype(np.int64)
+        owner = np.repeat(np.arange(len(stretches)), lengths)
+        place = np.arange(len(code))
+        final = symbol.copy()  # of each character the symbol that starts there, or GONE
+        rank, made = np.full(len(code), NEVER), np.zeros(len(code), np.int64)
+        if len(self.pairs):
+            rank[:-1], made[:-1] = self._met(symbol[:-1], symbol[1:])
+        rank[np.cumsum(lengths) - 1] = NEVER
+        while len(rank):
+            start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), start)
+            on = best >> 32 < NEVER
+            at = (best & 0xFFFFFFFF)[on]
+            symbol[at] = made[at]
+            final[place[at]], final[place[at + 1]] = made[at], GONE
+            stays = np.repeat(on, np.diff(start, append=len(rank)))  # the others are done
+            stays[at + 1] = False
+            moved = np.cumsum(stays) - 1
+            at = moved[at]
+            symbol, owner, place, rank, made = symbol[stays], owner[stays], place[stays], rank[stays], made[stays]
+            if not len(rank):
+                break
+            for i in (at, at[at > 0] - 1):
+                i = i[i + 1 < len(owner)]
+                inside = owner[i] == owner[i + 1]
+                found, piece = self._met(symbol[i], symbol[i + 1])
+                rank[i], made[i] = np.where(inside, found, NEVER), piece
+            rank[-1] = NEVER
+        known = final != GONE
+        ids, spelt = final[known], np.flatnonzero(known)
+        odd = (ids < 0) | (ids >= len(self.labels))
+        ends = np.searchsorted(spelt, np.cumsum(lengths))
+        if not odd.any():
+            return ids.tolist(), ends.tolist()
+        parts = [[self.bytes[b] for b in chr(code[p]).encode()] if o else [i] for i, o, p in zip(ids.tolist(), odd.tolist(), spelt.tolist(), strict=True)]
+        return [i for x in parts for i in x], np.cumsum([0, *(len(x) for x in parts)])[ends].tolist()
+
+    def prepare(self, texts: list[str]) -> None:
+        """Keeps the tokens of the short stretches of these texts that aren't kept yet."""
+        new: set[str] = set()
+        for text in texts:
+            if text:
+                new.update(self.rests(text))
+        new -= self.kept.keys()
+        short = [r for r in new if len(r) < SHORT and r not in self.older]
+        if not short:
+            return
+        ids, ends = self.side_by_side([" " + r for r in short])
+        names, labels, kept, made, at = list(map(self.names.__getitem__, ids)), list(map(self.labels.__getitem__, ids)), self.kept, self.made, 0
+        for rest, to in zip(short, ends, strict=True):
+            entry = ",".join(names[at:to]), b"".join(labels[at:to]).decode()
+            at = to
+            made.append((rest, entry[0]))
+            kept[rest] = entry
+        if len(kept) >= KEPT:
+            self.older, self.kept = kept, {}
+
     def tokens(self, text: str) -> list[int]:
         """The ids of a stretch in which spaces are spaces, without one put in front."""
         symbols, at = [], 0
@@ -147,26 +237,26 @@ class Pieces:
             ids = self.tokens(" " + rest)
             entry = ",".join(map(str, ids)), b"".join(map(self.labels.__getitem__, ids)).decode()
             self.made.append((rest, entry[0]))
-        if len(rest) < 100:
+        if len(rest) < SHORT:
             if len(self.kept) >= KEPT:
                 self.older, self.kept = self.kept, {}
             self.kept[rest] = entry
         return entry
 
-    def entries(self, text: str) -> list[tuple[str, str]]:
-        """Ids and text of the stretches of a text, each of which starts with a space; none for the empty text."""
-        if not text:
-            return []
+    def rests(self, text: str) -> list[str]:
+        """The stretches of a text that isn't empty, each without the space at its start."""
         if SPACE in text:
             text = text.replace(SPACE, " ")
         if not self.by_words:
-            return [self._entry(text)]
+            return [text]
         if "  " in text or text[0] == " " or text[-1] == " ":
-            rests = [s[1:] for s in re.findall(" +[^ ]*", " " + text)]
-        else:
-            rests = text.split(" ")
+            return [s[1:] for s in re.findall(" +[^ ]*", " " + text)]
+        return text.split(" ")
+
+    def entries(self, text: str) -> list[tuple[str, str]]:
+        """Ids and text of the stretches of a text, each of which starts with a space; none for the empty text."""
         get, make = self.kept.get, self._entry
-        return [get(r) or make(r) for r in rests]
+        return [get(r) or make(r) for r in self.rests(text)] if text else []
 
     def agrees(self, library) -> bool:
         """Whether the library makes the same ids of the stretches made since the last call, one behind the other."""
@@ -279,6 +369,8 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         p, lib = pieces(path), library(path)
         for batch in batches:
             n, ids, decoded = [], [], []
+            for at in range(0, len(batch), 1024):
+                p.prepare([x.as_py() for x in batch["text"][at : at + 1024]])
             for x in batch["text"]:
                 found = p.entries(x.as_py() or "")
                 own = ",".join([e[0] for e in found])

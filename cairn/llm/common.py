@@ -20,11 +20,12 @@ BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have BATCH_BYTES at most."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(df.sparkSession.conf.get(name).rstrip("b"))
+    """df, in a session whose Arrow batches have BATCH_BYTES at most. The setting stays, as the plan is run only after the operator has
+    returned it; a smaller one of the caller is left as it is."""
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))  # such as 64m or 67108864b
     if not 0 < now <= BATCH_BYTES:
-        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+        spark.conf.set(name, str(BATCH_BYTES))
     return df
 
 

@@ -156,8 +156,6 @@ def _differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(rows.withColumn("linked", A * F.size("apart") <= B * (F.col("n") + F.col("m"))), "differences")
 
 
-
-
 def _undecided(differences: DataFrame, found: DataFrame) -> DataFrame:
     """The differences of the pivots whose classes fall into several components, with these, each class's shingles apart by place.
 
@@ -171,32 +169,47 @@ def _undecided(differences: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _places(undecided: DataFrame) -> DataFrame:
-    each = undecided.select("pivot", "c", "n", "m", "d", "linked", "component", F.explode("apart").alias("shingle"))
-    held = each.groupBy("pivot", "shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    """Of each class the shingles that tell it from its pivot, the rarest first, as far as a link can ask for.
+
+    Two classes must share ((A * d - B * n) + (A * d' - B * n')) / 2 A of them, more than are left behind too late a place: a
+    class's part of that sum, in levels, says which levels of others a row can still meet (up to top). low and high are the
+    least and the greatest level of the classes that hold the shingle; rows that can meet none of them go."""
+    step = F.greatest(F.lit(1), F.floor(F.col("m") * B / 2))
+    excess = A * F.col("d") - B * F.col("n")
+    each = undecided.select("pivot", "c", "n", "m", "d", "linked", "component", F.floor(excess / step).alias("level"), F.explode("apart").alias("shingle"))
+    held = each.groupBy("pivot", "shingle").agg(F.count("*").alias("holders"), F.min("level").alias("low"), F.max("level").alias("high")).filter("holders > 1")
     own = Window.partitionBy("pivot", "c")  # no more than a document's shingles and its pivot's
     each = each.join(held.hint("merge"), ["pivot", "shingle"])
     place = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "shingle"))
     near = F.col("d") - F.floor(F.col("d") * PERCENT / A)
     far = F.when(F.col("linked"), near).otherwise(F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((A * F.col("d") - B * (F.col("n") + F.col("m"))) / (2 * A))))
     each = each.withColumn("place", place).withColumn("near", near).withColumn("far", far)
-    return staged(each.filter("place <= greatest(near, far)").drop("holders", "m"), "places")
+    each = each.withColumn("top", F.least("high", F.floor((2 * A * (1 + F.col("d") - F.col("place")) - excess) / step)))
+    return staged(each.filter("place <= greatest(near, far) and top >= low").drop("holders", "m", "high"), "places")
 
 
-def _meetings(places: DataFrame) -> DataFrame:
+def _tried(places: DataFrame) -> DataFrame:
+    """Pairs of rows of a pivot and shingle, met by the levels of both."""
     names = ("c", "n", "d", "linked", "component", "place", "near", "far")
-    other = places.select("pivot", "shingle", *(F.col(x).alias(f"{x}2") for x in names))
+    levels = F.explode(F.sequence("low", "top"))
+    one = places.filter("not linked").select("pivot", "shingle", F.col("level").alias("own"), levels.alias("others"), *names)
+    other = places.select("pivot", "shingle", levels.alias("own"), F.col("level").alias("others"), *(F.col(x).alias(f"{x}2") for x in names))
+    return one.join(other.hint("merge"), ["pivot", "shingle", "own", "others"])
+
+
+def _meetings(places: DataFrame) -> DataFrame:
+    """Pairs of classes of different components that may be links."""
     most = 1 + F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2"))
     can = 2 * A * most >= A * (F.col("d") + F.col("d2")) - B * (F.col("n") + F.col("n2"))
     reach = (F.col("place2") <= F.col("near2")) & (F.col("place") <= F.when(F.col("linked2"), F.col("far")).otherwise(F.col("near")))
-    on = places.filter("not linked").join(other.hint("merge"), ["pivot", "shingle"])
-    return on.filter((F.col("component") != F.col("component2")) & (F.col("linked2") | (F.col("c") < F.col("c2"))) & reach & can)
+    return _tried(places).filter((F.col("component") != F.col("component2")) & (F.col("linked2") | (F.col("c") < F.col("c2"))) & reach & can)
 
 
 def _thinned(links: DataFrame) -> DataFrame:
-    """Links (a, b) of the same components: each a with its least b, and that with the other b; an a has a pivot for each band at most."""
-    stars = links.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs")).withColumn("least", F.get("bs", F.lit(0)))
-    others = stars.select(F.explode(F.slice("bs", 2, REGISTERS // BAND)).alias("a"), F.col("least").alias("b"))
-    return stars.select("a", F.col("least").alias("b")).union(others).distinct()
+    """Links (a, b) of the same components: each a with its least b, and that with the other b."""
+    least = links.groupBy("a").agg(F.min("b").alias("least"))
+    others = links.join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return least.select("a", F.col("least").alias("b")).union(others).distinct()
 
 
 def _across(differences: DataFrame, found: DataFrame) -> DataFrame | None:

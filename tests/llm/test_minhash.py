@@ -122,3 +122,22 @@ def test_links_beside_the_pivot(spark):
     root = {x["node"]: x["component"] for x in found.collect()}
     wanted = {(j, i) for i in range(1, len(sets)) for j in range(1, i) if near(sets[i], sets[j]) and root.get(i, i) != root.get(j, j)}
     assert wanted and {(min(x), max(x)) for x in more.collect()} == wanted
+
+
+def test_a_class_with_many_links_stays_whole(spark):
+    links = spark.createDataFrame([(1000, i) for i in range(100)] + [(2000 + i, i) for i in range(100)], "a bigint, b bigint")
+    assert {r["component"] for r in connected_components(M._thinned(links)).collect()} == {0}
+    assert connected_components(M._thinned(links)).count() == 201
+
+
+def test_pairs_tried_grow_with_the_documents_of_a_template(spark):
+    """Documents that share two thirds, so that none is linked: they must not be tried pair by pair."""
+    tried = {}
+    for n in (100, 400):
+        sets = [[*range(200), *range(1000 * i + 1000, 1000 * i + 1060)] for i in range(n)] + [[*range(200), *range(10**6, 10**6 + 10)]]
+        table = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "c bigint, shingles array<bigint>")
+        stars = spark.createDataFrame([(i, 0) for i in range(1, len(sets))], "c bigint, pivot bigint")
+        differences = M._differences(stars, table)
+        found = connected_components(differences.filter("linked").selectExpr("c a", "pivot b"))
+        tried[n] = M._tried(M._places(M._undecided(differences, found))).count()
+    assert tried[400] <= 6 * max(tried[100], 400)

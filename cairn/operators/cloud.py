@@ -95,11 +95,53 @@ def suggested_region(splats: DataFrame, height: float = 2.0) -> DataFrame:
     )
 
 
+#: Points of a cell from which on its points are looked at in finer cells first.
+CROWD = 512
+
+
+def _in_crowds(placed: DataFrame, cells: DataFrame, axes: list[str], k: int, low: list[float], size: float) -> DataFrame | None:
+    """splat_id, mean_distance of the points in crowded cells whose k nearest finer cells show, None without crowded cells.
+
+    Cells are halved until none has many points. From there up, a point's k nearest are those in the finer cells around it, if they are no
+    further than such a cell's edge; the others look again in cells of twice the edge. More than k points of one place are settled at once."""
+    crowded = cells.filter(F.col("n") > CROWD)
+    if crowded.isEmpty():
+        return None
+    own = staged(placed.join(crowded.select(*axes), axes, "left_semi").select("splat_id", "x", "y", "z"), "crowd")
+    alike = own.groupBy("x", "y", "z").count().filter(F.col("count") > k)
+    found = [own.join(alike, ["x", "y", "z"], "left_semi").select("splat_id", F.lit(0.0).alias("mean_distance"))]
+    todo = staged(own.join(alike, ["x", "y", "z"], "left_anti"), "open")
+
+    def finer(level: int) -> list[Column]:
+        return [F.floor((F.col(c) - F.lit(a)) / F.lit(size / 2.0**level)).cast("bigint").alias(f"f{c}") for c, a in zip("xyz", low, strict=True)]
+
+    level = 2
+    while level < 40 and (todo.groupBy(*finer(level)).count().agg(F.max("count")).first()[0] or 0) > max(CROWD // 8, k):
+        level += 2
+    while level > 0 and not todo.isEmpty():
+        near = todo.select("*", *finer(level))
+        for c in "xyz":
+            near = near.withColumn(f"f{c}", F.explode(F.sequence(F.col(f"f{c}") - 1, F.col(f"f{c}") + 1)))
+        other = placed.select(F.col("splat_id").alias("other"), "x", "y", "z").select("other", *(F.col(c).alias(f"o{c}") for c in "xyz"), *finer(level))
+        d = F.sqrt((F.col("ox") - F.col("x")) ** 2 + (F.col("oy") - F.col("y")) ** 2 + (F.col("oz") - F.col("z")) ** 2)
+        met = near.join(other, ["fx", "fy", "fz"]).filter("other <> splat_id").select("splat_id", d.alias("d"), "other").filter(F.col("d") <= size / 2.0**level)
+        best = met.withColumn("place", F.row_number().over(_window(["splat_id"]).orderBy("d", "other"))).filter(F.col("place") <= k)
+        sure = staged(best.groupBy("splat_id").agg(F.avg("d").alias("mean_distance"), F.count("*").alias("many")).filter(F.col("many") == k).drop("many"), "sure")
+        found.append(sure)
+        todo = staged(todo.join(sure, "splat_id", "left_anti"), "open")
+        level -= 1
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return staged(out, "crowds")
+
+
 def neighbour_distances(points: DataFrame, k: int = 16, most_rings: int = 8) -> DataFrame:
     """splat_id, mean distance to its k nearest among the cells around it (infinite without any); rows of finite positions.
 
     Cells are cubes of diagonal / cbrt(n). The ring of cells that a point searches is the least one with k
-    other points, found from counts of occupied cells; then points meet by an equi-join on cells."""
+    other points, found from counts of occupied cells; then points meet by an equi-join on cells. Points of
+    crowded cells look in finer cells first, so that no cell's points all meet each other."""
     rows = points.select("splat_id", "x", "y", "z").filter(finite(*(F.col(c) for c in "xyz")))
     n, *box = rows.agg(F.count("*"), *(f(c) for c in "xyz" for f in (F.min, F.max))).first()
     nothing = rows.select("splat_id", F.lit(math.inf).alias("mean_distance"))
@@ -112,6 +154,8 @@ def neighbour_distances(points: DataFrame, k: int = 16, most_rings: int = 8) ->
     axes = ["cx", "cy", "cz"]
     placed = staged(rows.select("*", *(F.floor((F.col(c) - F.lit(box[2 * i])) / F.lit(size)).cast("bigint").alias(axes[i]) for i, c in enumerate("xyz"))), "placed")
     cells = placed.groupBy(axes).agg(F.count("*").alias("n"))
+    crowds = _in_crowds(placed, cells, axes, k, box[::2], size)
+    asking = placed if crowds is None else placed.join(crowds, "splat_id", "left_anti")
     left, rings = cells, []
     for ring in range(1, most_rings + 1):
         reach = F.sequence(F.lit(-ring), F.lit(ring))
@@ -131,9 +175,10 @@ def neighbour_distances(points: DataFrame, k: int = 16, most_rings: int = 8) ->
         pairs = pairs.union(r)
     other = placed.select(F.col("splat_id").alias("other"), *(F.col(c).alias(f"o{c}") for c in "xyz"), *(F.col(c).alias(f"o{c}") for c in axes))
     d = (F.col("ox") - F.col("x")) ** 2 + (F.col("oy") - F.col("y")) ** 2 + (F.col("oz") - F.col("z")) ** 2
-    met = placed.join(pairs, axes).join(other, [f"o{c}" for c in axes]).filter("other <> splat_id").select("splat_id", F.sqrt(d).alias("d"), "other")
+    met = asking.join(pairs, axes).join(other, [f"o{c}" for c in axes]).filter("other <> splat_id").select("splat_id", F.sqrt(d).alias("d"), "other")
     best = met.withColumn("place", F.row_number().over(_window(["splat_id"]).orderBy("d", "other"))).filter(F.col("place") <= k)
     means = best.groupBy("splat_id").agg(F.avg("d").alias("mean_distance"))
+    means = means if crowds is None else means.union(crowds.select("splat_id", "mean_distance"))
     return rows.select("splat_id").join(means, "splat_id", "left").withColumn("mean_distance", F.coalesce("mean_distance", F.lit(math.inf)))
 
 

@@ -61,22 +61,32 @@ def nearest_entry(value: Column, book: list[float]) -> Column:
     return place(value)
 
 
-def _distance(vector: Column, centroid: list[float]) -> Column:
-    out = F.lit(0.0)
-    for i, c in enumerate(centroid):
-        out = out + (F.get(vector, F.lit(i)) - c) * (F.get(vector, F.lit(i)) - c)
+def nearest(centroids: np.ndarray, vectors: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+    """The nearest centroid of each vector, the first of equals, in blocks of `block` distances."""
+    rows = max(block // max(len(centroids), 1), 1)
+    out = np.zeros(len(vectors), np.int64)
+    for at in range(0, len(vectors), rows):
+        d = np.zeros((len(vectors[at : at + rows]), len(centroids)))
+        for i in range(centroids.shape[1]):
+            d += (vectors[at : at + rows, i : i + 1] - centroids[:, i]) ** 2
+        out[at : at + rows] = d.argmin(axis=1)
     return out
 
 
 def nearest_centroid(vector: Column, centroids: list[list[float]]) -> Column:
-    """Place of the nearest centroid, the first of equals: an expression over literals, so that no Python runs."""
-    best = F.least(*(F.struct(_distance(vector, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centroids))) if len(centroids) > 1 else F.struct(_distance(vector, centroids[0]).alias("d"), F.lit(0).alias("i"))
-    return best["i"]
+    """Place of the nearest centroid, the first of equals; the centroids go along as one matrix, batches of vectors are compared in arrays."""
+    table = np.asarray(centroids, float)
+
+    @F.pandas_udf("int")
+    def place(v: pd.Series) -> pd.Series:
+        return pd.Series(nearest(table, np.stack(v.to_numpy()).astype(float)).astype(np.int32) if len(v) else np.zeros(0, np.int32))
+
+    return place(vector)
 
 
-def kmeans(rows: DataFrame, key: str, clusters: int, iterations: int, sample: int = 100_000) -> tuple[list[list[float]], DataFrame]:
-    """rows (key, v: an array) -> centroids and rows with label. Starts at every n / clusters-th row in key order; learns on
-    every stride-th row (about `sample`, a documented bound of the learning alone); labels every row; empty clusters stay put."""
+def kmeans(rows: DataFrame, key: str, clusters: int, iterations: int) -> tuple[list[list[float]], DataFrame]:
+    """rows (key, v: an array) -> centroids and rows with label. Starts at every n / clusters-th row in key order; every round learns from all
+    rows, a task's sums of each cluster combine before they are shuffled; empty clusters stay put."""
     ranked = staged(with_ordinal(rows, [key], "i"), "ranked")
     n = ranked.count()
     clusters = min(max(clusters, 1), max(n, 1))
@@ -84,10 +94,9 @@ def kmeans(rows: DataFrame, key: str, clusters: int, iterations: int, sample: in
         return [], rows.withColumn("label", F.lit(0))
     starts = [c * n // clusters for c in range(clusters)]
     centroids = [list(r["v"]) for r in ranked.filter(F.col("i").isin(starts)).orderBy("i").collect()]
-    learn = staged(ranked.filter(F.col("i") % max(n // sample, 1) == 0).select("v"), "learn")
     dims = len(centroids[0])
     for _ in range(max(iterations, 1)):
-        means = learn.groupBy(nearest_centroid(F.col("v"), centroids).alias("label")).agg(*(F.avg(F.get("v", F.lit(d))).alias(f"m{d}") for d in range(dims)))
-        for r in means.collect():
+        means = ranked.groupBy(nearest_centroid(F.col("v"), centroids).alias("label")).agg(*(F.avg(F.get("v", F.lit(d))).alias(f"m{d}") for d in range(dims)))
+        for r in means.collect():  # a row for each cluster
             centroids[r["label"]] = [r[f"m{d}"] for d in range(dims)]
     return centroids, ranked.withColumn("label", nearest_centroid(F.col("v"), centroids)).drop("i")

@@ -80,8 +80,8 @@ def leaves(chunks: DataFrame, count: int) -> DataFrame:
 
 
 def lod_tree(leaf: DataFrame) -> DataFrame:
-    """node_id, depth, parent and box of the balanced binary tree over the chunks in order: each leaf walks up the halvings that hold
-    it, and boxes meet in grouped minima. Node ids are heap numbers, 1 the root."""
+    """node_id, depth, chunks, first and box of the balanced binary tree over the chunks in order: each leaf walks up the halvings that hold
+    it, and boxes meet in grouped minima. Node ids are heap numbers, 1 the root; first is the first chunk below."""
     n = leaf.count()
 
     def path(i: int) -> list[tuple[int, int]]:
@@ -99,7 +99,7 @@ def lod_tree(leaf: DataFrame) -> DataFrame:
 
     up = leaf.select("chunk").mapInPandas(walk, "chunk bigint, node_id bigint, depth int")
     box = [f(f"{n}_{c}").alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in "xyz"]
-    return up.join(leaf, "chunk").groupBy("node_id", "depth").agg(F.count("*").alias("chunks"), *box)
+    return up.join(leaf, "chunk").groupBy("node_id", "depth").agg(F.count("*").alias("chunks"), F.min("chunk").alias("first"), *box)
 
 
 def write_bundle(chunks: DataFrame, count: int) -> str:

@@ -90,13 +90,13 @@ t AS (SELECT c_custkey, sign(v) * ln(1 + abs(v)) AS sym_log, 1 / (1 + exp(-v)) A
 
 
 def voxel_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cloud(spark, sf).select(*(G.voxel(F.col(c), 0.0, 0.25).alias(f"v{c}") for c in "xyz"), (F.greatest("x", "z") < 9.0).alias("inside"))
-    index = (F.col("vy") * 40 + F.col("vz")) * 40 + F.col("vx")
-    return rows.filter("inside").groupBy("vx", "vy", "vz").agg(F.count("*").alias("splats")).select("vx", "vy", "vz", "splats", index.alias("index"), ((F.col("vx") + 0.5) * 0.25).alias("centre_x"), ((F.col("vy") + 1) * 0.25).alias("top_y"), (F.floor(index / 1600) == F.col("vy")).alias("back"))
+    rows = cloud(spark, sf).select(*(G.voxel(F.col(c), 0.0, 0.25).alias(f"v{c}") for c in "xyz"))
+    index = (F.col("vy") * 64 + F.col("vz")) * 64 + F.col("vx")  # the stand-in is less than 16 m wide
+    return rows.groupBy("vx", "vy", "vz").agg(F.count("*").alias("splats")).select("vx", "vy", "vz", "splats", index.alias("index"), ((F.col("vx") + 0.5) * 0.25).alias("centre_x"), ((F.col("vy") + 1) * 0.25).alias("top_y"), (F.floor(index / 4096) == F.col("vy")).alias("back"))
 
 
-VOXEL_NUMBERS = f"""WITH s AS ({CLOUD_SQL}), v AS (SELECT CAST(floor(x / 0.25) AS BIGINT) AS vx, CAST(floor(y / 0.25) AS BIGINT) AS vy, CAST(floor(z / 0.25) AS BIGINT) AS vz FROM s WHERE greatest(x, z) < 9.0)
-SELECT vx, vy, vz, count(*) AS splats, (vy * 40 + vz) * 40 + vx AS index, CAST((vx + 0.5) * 0.25 AS DOUBLE) AS centre_x, CAST((vy + 1) * 0.25 AS DOUBLE) AS top_y, true AS back FROM v GROUP BY vx, vy, vz"""
+VOXEL_NUMBERS = f"""WITH s AS ({CLOUD_SQL}), v AS (SELECT CAST(floor(x / 0.25) AS BIGINT) AS vx, CAST(floor(y / 0.25) AS BIGINT) AS vy, CAST(floor(z / 0.25) AS BIGINT) AS vz FROM s)
+SELECT vx, vy, vz, count(*) AS splats, (vy * 64 + vz) * 64 + vx AS index, CAST((vx + 0.5) * 0.25 AS DOUBLE) AS centre_x, CAST((vy + 1) * 0.25 AS DOUBLE) AS top_y, true AS back FROM v GROUP BY vx, vy, vz"""
 
 
 def _orders(spark, sf):

@@ -106,7 +106,7 @@ def capsules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cloud(spark, sf).filter("not (x between 4 and 6)")
+    rows = cloud(spark, sf).withColumn("x", F.when(F.col("x") > 5, F.col("x") + 4.0).otherwise(F.col("x")))  # two parts, metres from each other
     return V.coarse_cluster(rows, (1.0, 0.5, 1.0), 0.1).groupBy(F.floor("x").alias("x")).agg(F.count("*").alias("splats"))
 
 
@@ -256,7 +256,7 @@ r AS (SELECT point_id, max(y0 + (vy + 1) * 0.5) AS ground FROM q, g JOIN solid O
     "capsule_states": f"""{BOX}, q AS (SELECT o_orderkey AS point_id, CAST(floor(((o_orderkey % 53) / 4.0 - 1.0 - x0) / 0.5) AS BIGINT) AS px, CAST(floor(((o_orderkey % 17) / 4.0 - y0) / 0.5) AS BIGINT) AS py, CAST(floor(((o_custkey % 43) / 4.0 - z0) / 0.5) AS BIGINT) AS pz FROM orders, g),
 h AS (SELECT point_id, bool_or(vx = px AND vy = py AND vz = pz) AS own FROM q JOIN solid ON abs(vx - px) <= 1 AND abs(vz - pz) <= 1 AND vy BETWEEN py AND py + 4 AND 0.25 * (pow(vx - px, 2) + pow(vz - pz, 2)) <= pow(0.45, 2) GROUP BY point_id)
 SELECT point_id, CASE WHEN NOT (px BETWEEN 0 AND dx - 1 AND py BETWEEN 0 AND dy - 1 AND pz BETWEEN 0 AND dz - 1) THEN 'outside_grid' WHEN own THEN 'inside_solid' WHEN own IS NOT NULL THEN 'capsule_blocked' ELSE 'capsule_fits' END AS state FROM q CROSS JOIN g LEFT JOIN h USING (point_id)""",
-    "coarse_clusters": f"""WITH RECURSIVE s AS (SELECT * FROM ({CLOUD_SQL}) WHERE NOT x BETWEEN 4 AND 6 AND opacity >= 0.1), g AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0 FROM s), p AS (SELECT x, CAST(floor(x - x0) AS BIGINT) AS vx, CAST(floor(y - y0) AS BIGINT) AS vy, CAST(floor(z - z0) AS BIGINT) AS vz FROM s, g),
+    "coarse_clusters": f"""WITH RECURSIVE s AS (SELECT * REPLACE (CASE WHEN x > 5 THEN x + 4.0 ELSE x END AS x) FROM ({CLOUD_SQL}) WHERE opacity >= 0.1), g AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0 FROM s), p AS (SELECT x, CAST(floor(x - x0) AS BIGINT) AS vx, CAST(floor(y - y0) AS BIGINT) AS vy, CAST(floor(z - z0) AS BIGINT) AS vz FROM s, g),
 o AS (SELECT DISTINCT vx, vy, vz FROM p), t AS (SELECT vx, vy, vz FROM o, g ORDER BY greatest(abs(vx - floor(1 - x0)), abs(vy - floor(0.5 - y0)), abs(vz - floor(1 - z0))), vy, vz, vx LIMIT 1),
 w(vx, vy, vz) AS (FROM t UNION SELECT f.vx, f.vy, f.vz FROM w, {_STEPS} JOIN o f ON f.vx = w.vx + i AND f.vy = w.vy + j AND f.vz = w.vz + k) SELECT CAST(floor(x) AS BIGINT) AS x, count(*) AS splats FROM p WHERE (vx, vy, vz) IN (FROM w) GROUP BY 1""",
     "z_order_chunks": f"{ORDERED} SELECT splat_id, code, place, chunk FROM c",

@@ -1,9 +1,10 @@
-"""Splat files: PLY, 32-byte .splat records, stored zip archives and binary meshes.
+"""Splat files: PLY, 32-byte .splat records, packed clouds (.spz), stored zip archives and binary meshes.
 
 Files come in as Spark's binary files and go out as rows of (name, content), of bounded size each."""
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import struct
@@ -21,6 +22,9 @@ from cairn.sources.tables import new_folder
 SH_C0 = 0.28209479177387814
 RECORD = np.dtype([("position", "<f4", 3), ("scale", "<f4", 3), ("colour", "u1", 4), ("rotation", "u1", 4)])
 PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
+#: Fixed values of packed clouds: the header, its magic number, and by degree the number of higher coefficients.
+PACKED_HEADER, PACKED_MAGIC, PACKED_COEFFICIENTS = struct.Struct("<4sIIBBBB"), b"NGSP", (0, 3, 8, 15)
+PACKED_BITS = 12
 FLOATS = pa.list_(pa.float32())
 FULL = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), *((c, pa.float32()) for c in "xyz"), ("scale", FLOATS), ("rot", FLOATS), ("opacity", pa.float32()), ("f_dc", FLOATS), ("f_rest", FLOATS)])
 FULL_SQL = "file string, ordinal bigint, x float, y float, z float, scale array<float>, rot array<float>, opacity float, f_dc array<float>, f_rest array<float>"
@@ -121,11 +125,100 @@ def splat_records(data: bytes) -> dict[str, pa.Array]:
     return own | {"scale": columns(np.log(np.maximum(r["scale"], np.float32(1e-9)))), "rot": columns(q), "opacity": pa.array(np.log(alpha / (1 - alpha)).astype(np.float32)), "f_dc": columns((r["colour"][:, :3] / 255.0 - 0.5) / SH_C0), "f_rest": _lists([], len(r))}
 
 
+def packed_arrays(data: bytes) -> dict[str, np.ndarray]:
+    """The arrays of a packed cloud (versions 2 and 3), compressed or not: xyz, scale, rot (w, x, y, z), alpha (0 to 1), f_dc, f_rest (channel by
+    channel). Each property stands for all splats before the next begins."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    if len(data) < PACKED_HEADER.size or data[:4] != PACKED_MAGIC:
+        raise InvalidSplats("no packed cloud")
+    _, version, n, degree, bits, _, _ = PACKED_HEADER.unpack_from(data)
+    if version not in (2, 3) or degree >= len(PACKED_COEFFICIENTS):
+        raise InvalidSplats(f"version {version}, degree {degree}")
+    many, at = PACKED_COEFFICIENTS[degree], PACKED_HEADER.size
+    wide = 4 if version == 3 else 3
+    if len(data) - at < n * (9 + 1 + 3 + 3 + wide + 3 * many):
+        raise InvalidSplats("fewer splats than declared")
+
+    def part(width: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
+        at += n * width
+        return out
+
+    fixed = part(9).reshape(n, 3, 3).astype(np.int64)
+    fixed = fixed[:, :, 0] | fixed[:, :, 1] << 8 | fixed[:, :, 2] << 16
+    alpha, colour, scale, turn = part(1)[:, 0] / 255.0, part(3), part(3), part(wide)
+    if version == 2:
+        three = turn / 127.5 - 1.0
+        rot = np.concatenate((np.sqrt(np.maximum(1.0 - (three * three).sum(axis=1, keepdims=True), 0.0)), three), axis=1)
+    else:
+        rot = _smallest_three(np.ascontiguousarray(turn).view("<u4")[:, 0])
+    rest = (part(3 * many).reshape(n, many, 3).astype(np.float64) - 128.0) / 128.0
+    return {
+        "xyz": (fixed - ((fixed & 0x800000) << 1)) / float(1 << bits), "scale": scale / 16.0 - 10.0, "rot": rot, "alpha": alpha,
+        "f_dc": (colour / 255.0 - 0.5) / SH_C0, "f_rest": rest.transpose(0, 2, 1).reshape(n, 3 * many),
+    }
+
+
+def _smallest_three(word: np.ndarray) -> np.ndarray:
+    """Rotations (w, x, y, z) from words with the place of the largest of (x, y, z, w) in two bits and, from the last of the others on, ten bits each."""
+    word = word.astype(np.int64)
+    largest, q = word >> 30, np.zeros((len(word), 4))
+    for i in range(3, -1, -1):
+        other = largest != i
+        value = (word & 511) / 511.0 * np.sqrt(0.5) * np.where(word >> 9 & 1, -1.0, 1.0)
+        q[other, i] = value[other]
+        word = np.where(other, word >> 10, word)
+    q[np.arange(len(q)), largest] = np.sqrt(np.maximum(1.0 - (q * q).sum(axis=1), 0.0))
+    return q[:, [3, 0, 1, 2]]
+
+
+def packed_records(data: bytes) -> dict[str, pa.Array]:
+    """A packed cloud as full splats; opacity as a logit, within a millionth of 0 and 1."""
+    a = packed_arrays(data)
+    alpha = np.clip(a["alpha"], 1e-6, 1 - 1e-6)
+    own = {c: pa.array(a["xyz"][:, i].astype(np.float32)) for i, c in enumerate("xyz")}
+    return own | {c: _lists(list(a[c].T), len(alpha)) for c in ("scale", "rot", "f_dc", "f_rest")} | {"opacity": pa.array(np.log(alpha / (1 - alpha)).astype(np.float32))}
+
+
+def packed_points(data: bytes) -> dict[str, np.ndarray]:
+    """Navigation points of a packed cloud, with scales and opacity as they are stored once unpacked: logarithms and a logit."""
+    a = packed_arrays(data)
+    w, x, y, z = a["rot"].T
+    alpha = np.clip(a["alpha"], 1e-6, 1 - 1e-6)
+    normal = {"nx": 2 * (x * z + y * w), "ny": 2 * (y * z - x * w), "nz": 1 - 2 * (x * x + y * y)}
+    return {c: a["xyz"][:, i] for i, c in enumerate("xyz")} | normal | {f"s{c}": a["scale"][:, i] for i, c in enumerate("xyz")} | {"opacity": np.log(alpha / (1 - alpha))}
+
+
+def packed_bytes(rows: pa.RecordBatch) -> bytes:
+    """A compressed packed cloud (version 2) of full splats: positions in steps of 1 / 4096 up to 2048, scales in steps of 1 / 16."""
+    n = len(rows)
+    stack = lambda c, k: np.stack(rows[c].to_numpy(zero_copy_only=False)).astype(np.float64) if n else np.zeros((0, k))
+    byte = lambda v: np.clip(np.floor(v + 0.5), 0, 255).astype(np.uint8)
+    rest = stack("f_rest", 0)
+    degree = PACKED_COEFFICIENTS.index(rest.shape[1] // 3)
+    at = np.stack([rows[c].to_numpy(zero_copy_only=False) for c in "xyz"], axis=1).astype(np.float64).reshape(n, 3)
+    fixed = np.clip(np.floor(at * (1 << PACKED_BITS) + 0.5), -(1 << 23), (1 << 23) - 1).astype(np.int64) & 0xFFFFFF
+    q = stack("rot", 4)
+    size = np.sqrt((q * q).sum(axis=1, keepdims=True))
+    q = np.where(size > 0, q / np.where(size > 0, size, 1.0), [1.0, 0.0, 0.0, 0.0])
+    q = np.where(q[:, :1] < 0, -q, q)
+    alpha = 1 / (1 + np.exp(-rows["opacity"].to_numpy(zero_copy_only=False).astype(np.float64)))
+    parts = [
+        np.stack([fixed & 255, fixed >> 8 & 255, fixed >> 16], axis=2).astype(np.uint8), byte(alpha * 255), byte((stack("f_dc", 3) * SH_C0 + 0.5) * 255), byte((stack("scale", 3) + 10) * 16),
+        byte(q[:, 1:] * 127.5 + 127.5), byte(rest.reshape(n, 3, -1).transpose(0, 2, 1) * 128 + 128),
+    ]
+    return gzip.compress(PACKED_HEADER.pack(PACKED_MAGIC, 2, n, degree, PACKED_BITS, 0, 0) + b"".join(p.tobytes() for p in parts), mtime=0)
+
+
 def _decode(name: str, data: bytes, full: bool) -> Iterator[pa.RecordBatch]:
     if name.lower().endswith(".splat"):
         if not full:
             raise InvalidSplats("navigation points come from PLY; convert .splat files first")
         columns = splat_records(data)
+    elif data[:4] == PACKED_MAGIC or data[:2] == b"\x1f\x8b":
+        columns = packed_records(data) if full else {c: pa.array(a) for c, a in packed_points(data).items()}
     else:
         v = ply_vertices(data)
         columns = full_cloud(v) if full else {c: pa.array(a) for c, a in nav_points(v).items()}
@@ -147,10 +240,10 @@ def decoded(files: DataFrame, full: bool = False) -> DataFrame:
 
 
 def read_splats(spark: SparkSession, path: str, full: bool = False) -> DataFrame:
-    """Splats of the .ply and .splat files under a path; the extension of the file, or of the folder
+    """Splats of the .ply, .splat and .spz files under a path; the extension of the file, or of the folder
     that write_ply() gives each, decides."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.col("path").alias("name"), "content").filter(F.lower("name").rlike(r"\.(ply|splat)(/[^/]*)?$"))
+    named = files.select(F.col("path").alias("name"), "content").filter(F.lower("name").rlike(r"\.(ply|splat|spz)(/[^/]*)?$"))
     return decoded(named, full)
 
 
@@ -182,7 +275,7 @@ def splat_bytes(rows: pa.RecordBatch) -> bytes:
 
 def encoded(splats: DataFrame, kind: str = "ply", most: int = 1 << 16) -> DataFrame:
     """Full splats -> (name, content): files of up to `most` splats each, in the order of the rows within a partition."""
-    write = {"ply": ply_bytes, "splat": splat_bytes}[kind]
+    write = {"ply": ply_bytes, "splat": splat_bytes, "spz": packed_bytes}[kind]
     schema = pa.schema([("name", pa.string()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,24 @@ def with_ordinal(df: DataFrame, keys: list[str], name: str, partitions: int | No
     return placed.withColumn("_p", part).join(start, "_p").select(*df.columns, (F.col("_start") + F.col("_place") - F.shiftleft(F.col("_p"), 33)).alias(name))
 
 
+def running_total(df: DataFrame, keys: list[str], order: list[Column | str], value: str, name: str) -> DataFrame:
+    """The sum of `value` over the rows of the same keys that stand before in an order without ties, 0 for the first.
+
+    Rows are dealt by ranges of keys and order, so that a key with many rows takes many tasks; a task adds up its own, and the
+    sums of a key's ranges, of which there are no more than tasks, say what stands before each."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id())
+    placed = staged(placed, "ranges")
+    before = lambda by, *first: Window.partitionBy(*by).orderBy(*first).rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    parts = parts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_of"), F.coalesce(F.sum("_sum").over(before(keys, "_part")), F.lit(0)).alias("_start"))
+    rows = placed.withColumn("_here", F.coalesce(F.sum(value).over(before([*keys, "_part"], *order)), F.lit(0)))
+    on = rows["_part"] == parts["_of"]
+    for k in keys:
+        on = on & rows[k].eqNullSafe(parts[f"_{k}"])
+    return rows.join(parts, on).select(*df.columns, (F.col("_start") + F.col("_here")).alias(name))
+
+
 #: The same stand-in cloud for DuckDB: a floor, stripes of obstacles and a ceiling.
 CLOUD_SQL = """SELECT l_quantity * 0.2 AS x,
   CASE WHEN l_linenumber <= 4 THEN 0.0 WHEN CAST(l_quantity AS INTEGER) % 10 < 3 THEN 1.2 ELSE 2.6 END + l_discount * 0.8 AS y,
@@ -89,3 +107,19 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small stand-in cloud of three components of the embeddings: splat_id, x, y, z."""
     axis = lambda i, c: F.get("embedding", F.lit(i)).cast("double").alias(c)
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("splat_id"), axis(0, "x"), axis(1, "y"), axis(2, "z"))
+
+
+#: A stepped terrain for meshes: a column of solid voxels for each (part, order modulo 40), of a height that the quantities give, and free
+#: space of three voxels on it.
+TERRAIN_DEPTH, TERRAIN_LEVELS = 40, 12
+TERRAIN_SQL = f"""column_ AS (SELECT l_partkey AS vx, l_orderkey % {TERRAIN_DEPTH} AS vz, CAST(sum(l_quantity) AS BIGINT) % {TERRAIN_LEVELS} AS top FROM lineitem GROUP BY ALL),
+solid AS MATERIALIZED (SELECT vx, unnest(range(top + 1)) AS vy, vz FROM column_), nav AS MATERIALIZED (SELECT vx, unnest(range(top + 1, top + 4)) AS vy, vz FROM column_)"""
+
+
+def terrain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """Solid and free voxels (vx, vy, vz), and the number of voxels along x."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("vx"), (F.col("l_orderkey") % TERRAIN_DEPTH).alias("vz")).agg((F.sum("l_quantity").cast("bigint") % TERRAIN_LEVELS).alias("top"))
+    rows = staged(rows, "terrain")
+    solid = rows.select("vx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("vy"), "vz")
+    free = rows.select("vx", F.explode(F.sequence(F.col("top") + 1, F.col("top") + 3)).alias("vy"), "vz")
+    return solid, free, (rows.agg(F.max("vx")).first()[0] or 0) + 1

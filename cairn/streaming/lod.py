@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.sources.tables import running_total
+
 #: Metres moved, cosine turned, milliseconds idle.
 MOVED, TURNED, IDLE_MS = 0.08, 0.999, 400
 
@@ -43,7 +45,6 @@ def unique_splats(nodes: DataFrame) -> DataFrame:
 
 
 
-
 def budgeted(nodes: DataFrame, budget: int) -> DataFrame:
     """view, node, level: target levels within the budget. nodes: view, node, distance, level, and levels, counts (parallel arrays of the
     node's own files, from fine to coarse).
@@ -55,14 +56,14 @@ def budgeted(nodes: DataFrame, budget: int) -> DataFrame:
     own = Window.partitionBy("view", "node").orderBy("s.levels")
     steps = steps.withColumn("round", F.row_number().over(own) - 1).withColumn("freed", F.coalesce(F.lag("s.counts").over(own) - F.col("s.counts"), F.lit(0)))
     totals = steps.filter("round = 0").groupBy("view").agg(F.sum("s.counts").alias("total"))
-    order = Window.partitionBy("view").orderBy("round", F.desc("distance"), "node").rowsBetween(Window.unboundedPreceding, -1)
-    taken = steps.filter("round > 0").withColumn("before", F.coalesce(F.sum("freed").over(order), F.lit(0))).join(totals, "view").filter(F.col("total") - F.col("before") > budget)
-    last = taken.groupBy("view", "node").agg(F.max("s.levels").alias("reached"))
+    turns = running_total(steps.filter("round > 0").select("view", "node", "distance", "round", F.col("s.levels").alias("reached"), "freed"), ["view"], ["round", F.desc("distance"), "node"], "freed", "before")
+    taken = turns.join(totals, "view").filter(F.col("total") - F.col("before") > budget)
+    last = taken.groupBy("view", "node").agg(F.max("reached").alias("reached"))
     return nodes.select("view", "node", "level").join(last, ["view", "node"], "left").select("view", "node", F.coalesce("reached", "level").alias("level"))
 
 
 def evicted(entries: DataFrame, budget: int) -> DataFrame:
     """entries (owner, key, bytes, last_access) that go, oldest first, until an owner's rest fits the budget."""
-    order = Window.partitionBy("owner").orderBy("last_access", "key").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("bytes").over(Window.partitionBy("owner"))
-    return entries.withColumn("left", total - F.coalesce(F.sum("bytes").over(order), F.lit(0))).filter(F.col("left") > budget).drop("left")
+    totals = entries.groupBy(F.col("owner").alias("of")).agg(F.sum("bytes").alias("total"))
+    rows = running_total(entries, ["owner"], ["last_access", "key"], "bytes", "gone")
+    return rows.join(totals, F.col("owner").eqNullSafe(F.col("of"))).filter(F.col("total") - F.col("gone") > budget).select(*entries.columns)

@@ -69,6 +69,7 @@ def blocks(page: str) -> list[Block]:
     linked, links, heading, regions = 0, 0, False, 0
     outside, region, named, names = False, 0, (), 0
     unclosed: set[str] = set()  # silent elements that no end follows
+    held: Counter[str] = Counter()  # open elements by name, so that an end without a start costs nothing
 
     def flush() -> None:
         nonlocal parts, linked
@@ -101,6 +102,7 @@ def blocks(page: str) -> list[Block]:
                     flush()
                     outside = True
                     stack.append((tag, True, region, named))
+                    held[tag] += 1
             continue
         if tag == "br":
             parts.append(" ")
@@ -117,10 +119,11 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if k >= 0:
+            if held[tag]:
+                k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)  # all that is passed goes
                 if any(x[0] in SILENT for x in stack[k:]):
                     flush()
+                held.subtract(x[0] for x in stack[k:])
                 del stack[k:]
         else:
             if tag in HEADINGS:
@@ -128,10 +131,10 @@ def blocks(page: str) -> list[Block]:
             elif tag in BREAKS:
                 heading = False
             if tag in ("p", "li", "tr", "td", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
+                held[stack.pop()[0]] -= 1
             if tag in ("nav", "article", "main", "footer", "aside", "header", "body") and stack:  # paragraphs and inline marks don't hold these
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "li", "ul", "ol"):
-                    stack.pop()
+                    held[stack.pop()[0]] -= 1
             outer = stack[-1] if stack else ("", False, 0, ())
             inner = outer[2]
             if tag in ("article", "main") or "articleBody" in attributes:
@@ -145,11 +148,22 @@ def blocks(page: str) -> list[Block]:
                     names += 1
                     own = (*own, names)
             stack.append((tag, away, inner, own))
+            held[tag] += 1
         _, outside, region, named = stack[-1] if stack else ("", False, 0, ())
     flush()
     return out
 
 
+def _nearest(found: list[Block], first: list[str], step: int) -> list[int]:
+    """Of each block the next one in a direction that is decided or of another region; a place beyond the ends if there is none."""
+    out = [0] * len(found)
+    for i in range(len(found))[:: -step]:
+        j = i + step
+        open_ = 0 <= j < len(found) and found[j].region == found[i].region and first[j] not in ("good", "bad")
+        out[i] = out[j] if open_ else j
+    return out
+
+
 def decide(found: list[Block]) -> list[Block]:
     """Labels all blocks good or bad and returns the good ones.
 
@@ -177,14 +191,12 @@ def decide(found: list[Block]) -> list[Block]:
             b.outside, b.label = True, "bad"
     first = [b.label for b in found]
     # Blocks around the page's text part what they stand between only where that isn't an article of its own.
+    nearest = [_nearest(found, first, -1), _nearest(found, first, 1)]
     for i, b in enumerate(found):
         if b.label not in ("short", "near"):
             continue
         side = []
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < len(found) and found[j].region == b.region and first[j] not in ("good", "bad"):
-                j += step
+        for j in (nearest[0][i], nearest[1][i]):
             inside = 0 <= j < len(found) and found[j].region == b.region and not (b.region and found[j].outside)
             side.append((abs(j - i), first[j]) if inside else (10**9, ""))
         (_, left), (_, right) = side
@@ -222,11 +234,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, ...) -> page_id, url, text, n_chars; one row for each row. Null and empty html
-    have the empty text; null ids and urls stay null."""
+    have the empty text; null ids and urls stay null. The work grows with a page's length, also where elements
+    aren't closed or long lists stay undecided."""
     return pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages; see extract()."""
     return extract(table(spark, sf_dir, "pages"))
 
 

@@ -262,3 +262,14 @@ def dense_floor(field: Field, s: FieldSettings, bin_size: float = 0.25, share: f
     x, z = g.min_u + (F.col("col") + 0.5) * s.cell, g.min_v + (F.col("row") + 0.5) * s.cell
     centre = [(F.sum(v * F.col("density")) / F.sum("density")).alias(f"centre_{c}") for c, v in (("x", x), ("y", F.col("height")), ("z", z))]
     return core.agg(F.lit(modal).alias("modal_height"), *centre, F.count("*").alias("cells"))
+
+
+def dense_region(field: Field, s: FieldSettings, below: float = 0.6, above: float = 3.0) -> DataFrame:
+    """One row or none: the box over all cells from a little below the denser cells' modal height to headroom above it, two cells wider on each side."""
+    core = dense_floor(field, s).first()
+    g, margin = field.grid, 2.0 * s.cell
+    height = F.lit(None) if core is None or core["modal_height"] is None else F.lit(core["modal_height"])
+    near = field.cells.filter(F.col("height").between(height - below, height + above))
+    x, z = g.min_u + (F.col("col") + 0.5) * s.cell, g.min_v + (F.col("row") + 0.5) * s.cell
+    out = near.agg((F.min(x) - margin).alias("min_x"), (height - below).cast("double").alias("min_y"), (F.min(z) - margin).alias("min_z"), (F.max(x) + margin).alias("max_x"), (height + above).cast("double").alias("max_y"), (F.max(z) + margin).alias("max_z"))
+    return out.filter("min_x is not null")

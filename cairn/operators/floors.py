@@ -6,14 +6,14 @@ those around them; floods that matter end at a size, so that no step holds a who
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cairn.operators.cloud import nearest_rank
 from cairn.operators.components import cell_components
-from cairn.operators.field import FieldSettings, Grid, around
+from cairn.operators.field import Field, FieldSettings, Grid, around, build
 from cairn.sources.tables import staged, with_ordinal
 
 CELL = ("row", "col")
@@ -223,6 +223,81 @@ def mesh(floor: Floor, g: Grid, s: FloorSettings = FloorSettings(), cell: float
     return surface(floor.cells, corners(floor.cells, floor.plane, s.flatten), g, cell)
 
 
+@dataclass(frozen=True)
+class Room:
+    """cells: row, col, height of one part of the floor, strays left out; relaxed: cells of doubt were taken in, or no part was near the seed."""
+
+    cells: DataFrame
+    parts: DataFrame
+    area: float
+    relaxed: bool
+
+
+def room(cells: DataFrame, g: Grid, plane: float | None, s: FloorSettings = FloorSettings(), cell: float = FieldSettings().cell) -> Room:
+    """The part of the accepted cells that a room's floor is most likely to be, the seed taken at the height of the plane.
+
+    Nothing is bridged, closed or levelled here; if there is no part as large as a room, cells of doubt are taken in where that
+    gives a larger part."""
+    if s.seed is not None and plane is not None:
+        s = replace(s, seed=(s.seed[0], plane, s.seed[2]))
+
+    def attempt(relaxed: bool):
+        floor = staged(with_parts(cells.filter(accepted(relaxed)).select(*CELL, "height")), "room")
+        found = staged(parts(floor, g, s, cell), "parts")
+        return floor, found, chosen(found, s)
+
+    floor, found, best = attempt(False)
+    relaxed = False
+    if best is None or best["area"] < s.room:
+        wide = attempt(True)
+        if wide[2] is not None and (best is None or wide[2]["area"] > best["area"]):
+            floor, found, best = wide
+            relaxed = True
+    if best is None:
+        raise NoFloor("no part of the field is large enough for a floor")
+    own = floor.filter((F.col("component.row") == best["component"]["row"]) & (F.col("component.col") == best["component"]["col"])).drop("component")
+    kept = staged(trimmed(own), "room")
+    area = kept.count() * cell * cell
+    if area < s.room:
+        raise NoFloor("the floor is smaller than a room")
+    return Room(kept, found, area, relaxed or bool(best["fallback"]))
+
+
+def steps(floor: DataFrame, g: Grid, cell: float) -> tuple[DataFrame, DataFrame]:
+    """A level square for each cell, with vertices of its own: vertices (vertex, x, y, z) and triangles (triangle, a, b, c) in the order of rows and columns."""
+    numbered = staged(with_ordinal(floor.select(*CELL, "height"), list(CELL), "cell"), "steps")
+    corner = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(j).alias("j")) for n, (i, j) in enumerate(((0, 0), (0, 1), (1, 1), (1, 0)))))).alias("c")
+    each = numbered.select("cell", *CELL, "height", corner)
+    at = ((g.min_u + (F.col("col") + F.col("c.i")) * cell).alias("x"), F.coalesce("height", F.lit(0.0)).alias("y"), (g.min_v + (F.col("row") + F.col("c.j")) * cell).alias("z"))
+    three = lambda n, *slots: F.struct((F.col("cell") * 2 + n).alias("triangle"), *((F.col("cell") * 4 + i).alias(v) for i, v in zip(slots, "abc", strict=True)))
+    triangles = numbered.select(F.explode(F.array(three(0, 0, 1, 2), three(1, 0, 2, 3))).alias("t")).select("t.*")
+    return each.select((F.col("cell") * 4 + F.col("c.n")).alias("vertex"), *at), triangles
+
+
+#: Settings of a field that are tried one after the other, each with the least area of a room that it may find.
+LADDER = (
+    ("default", {}, 4.0),
+    ("relaxed", {"density": 0.04, "obstacle_height": 0.42, "confidence": 0.003, "hole_radius": 3}, 4.0),
+    ("coarse", {"cell": 0.2, "density": 0.03, "confidence": 0.002, "hole_radius": 3}, 2.5),
+    ("coarse-last-resort", {"cell": 0.26, "density": 0.022, "confidence": 0.0015, "hole_radius": 4}, 1.5),
+)
+
+
+def recovered(splats: DataFrame, s: FloorSettings = FloorSettings(), base: FieldSettings = FieldSettings(), ladder=LADDER) -> tuple[str, Room, Field]:
+    """The first room that the settings of the ladder find, with the step's name and its field; NoFloor with all reasons if none does."""
+    reasons = []
+    for label, patch, area in ladder:
+        own = replace(base, **patch)
+        field = build(splats, own)
+        try:
+            if field is None:
+                raise NoFloor("no field")
+            return label, room(field.cells, field.grid, field.floor, replace(s, room=area), own.cell), field
+        except NoFloor as why:
+            reasons.append(f"{label}: {why}")
+    raise NoFloor("; ".join(reasons) or "no settings")
+
+
 def trimmed(floor: DataFrame, tolerance: float = 0.5, most_stray: float = 0.3, least: int = 16) -> DataFrame:
     """floor (row, col, height) without cells whose height is beyond the tolerance from the upper median, and of the rest only the largest part
     (of two the first). All cells stay if that would drop more than a share of them, or leave fewer than `least`."""

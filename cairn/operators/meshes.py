@@ -119,3 +119,22 @@ def normal() -> list[Column]:
 
 def centre() -> list[Column]:
     return [(F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3.0 for c in "xyz"]
+
+
+#: Triangles whose normals tell how a mesh lies, and the mean upward part below which it lies upside down.
+SEEN, DOWN = 50, -0.5
+
+
+def preflight(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row on a mesh (vertices, finite ones, their bounds and mean, triangles, up: the mean upward part of the first normals, flipped), and
+    its triangles, turned round if they face down. Vertices that aren't finite count as such only; triangles without area count as level with 0."""
+    good = F.lit(True)
+    for c in "xyz":
+        good = good & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    only = lambda c: F.when(good, F.col(c))
+    box = [f(only(c)).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg)) for c in "xyz"]
+    first = corners_of(triangles.orderBy("triangle").limit(SEEN), vertices)
+    up = first.agg(F.avg(F.coalesce(normal()[1], F.lit(0.0)))).first()[0] or 0.0
+    row = vertices.agg(F.count("*").alias("vertices"), F.count(F.when(good, 1)).alias("finite"), *box)
+    row = row.withColumns({"triangles": F.lit(triangles.count()).cast("bigint"), "up": F.lit(float(up)), "flipped": F.lit(up < DOWN)})
+    return row, triangles.select("triangle", "a", F.col("c").alias("b"), F.col("b").alias("c")) if up < DOWN else triangles

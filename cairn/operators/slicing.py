@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.geometry import morton
-from cairn.sources.tables import new_folder, staged, with_ordinal
+from cairn.sources.tables import new_folder, running_total, staged, with_ordinal
 
 BITS = 21
 
@@ -27,41 +29,98 @@ def z_ordered(splats: DataFrame) -> DataFrame:
 
 
 def chunked(ordered: DataFrame, target: int, extent: float = 0.0) -> DataFrame:
-    """ordered with chunk. Without an extent a chunk is `target` rows. With one, a chunk also ends where its box would
-    pass it once it has max(target / 8, 8192) rows: that scan runs in order, on blocks of rows handed from
-    one to the next as one row of state, so that no task holds more than a block."""
+    """ordered with chunk. Without an extent a chunk is `target` rows. With one, a chunk also ends before the row with which its box would pass
+    it, once it has max(target / 8, 8192) rows.
+
+    Where a chunk ends depends on where it starts alone. So blocks of rows tell, each by itself, for every place at which a chunk may start that comes
+    from the block before, where the first chunk of the next block starts; these maps are joined pair by pair, which gives each block its true start."""
     if extent <= 0:
         return ordered.withColumn("chunk", F.floor(F.col("place") / target))
-    block = max(target, 1 << 16)
-    rows = staged(ordered.withColumn("block", F.floor(F.col("place") / block)), "blocks")
-    blocks, state, cuts = (rows.agg(F.max("block")).first()[0] or 0) + 1, None, []
-    least = max(target // 8, 8192)
-    for b in range(blocks):
-        found, state = _cuts(rows.filter(F.col("block") == b).orderBy("place").select("place", "x", "y", "z").toPandas(), state, target, extent, least)
-        cuts += found
-    starts = [0, *cuts]
-    spark = ordered.sparkSession
-    # Chunks hold 8192 rows at least, so that their starts are few.
-    spans = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(starts, [*cuts, 1 << 62], strict=True))], "chunk bigint, start bigint, end bigint")
-    return rows.drop("block").join(F.broadcast(spans), (F.col("place") >= F.col("start")) & (F.col("place") < F.col("end"))).drop("start", "end")
-
-
-def _cuts(rows: pd.DataFrame, state, target: int, extent: float, least: int):
-    """Places where chunks start within a block of rows, and the open chunk's (rows, box) after it."""
-    held, low, high = state or (0, np.full(3, np.inf), np.full(3, -np.inf))
-    at, place, xyz, out = 0, rows["place"].to_numpy(), rows[["x", "y", "z"]].to_numpy(), []
-    while at < len(xyz):
-        part = xyz[at : at + target - held] if held < target else xyz[at:at]
-        lows, highs = np.minimum(np.minimum.accumulate(part), low), np.maximum(np.maximum.accumulate(part), high)
-        over = np.flatnonzero(((highs - lows).max(axis=1) > extent) & (np.arange(len(part)) + held >= least)) if len(part) else np.zeros(0, int)
-        taken = int(over[0]) if len(over) else len(part)
-        if taken:
-            held, low, high = held + taken, lows[taken - 1], highs[taken - 1]
-        at += taken
-        if at < len(xyz):
-            out.append(int(place[at]))
-            held, low, high = 0, np.full(3, np.inf), np.full(3, -np.inf)
-    return out, (held, low, high)
+    size, least = max(4 * target, BLOCK), max(target // 8, LEAST)
+    rows = staged(ordered.withColumn("block", F.floor(F.col("place") / size)), "blocks")
+    last, n = rows.agg(F.max("block"), F.count("*")).first()
+    if not n:
+        return rows.select(*ordered.columns, F.lit(0).cast("bigint").alias("chunk"))
+    columns = ordered.columns
+    # A block and the rows behind it that a chunk of it can reach.
+    ahead = rows.filter((F.col("block") > 0) & (F.col("place") < F.col("block") * size + target)).withColumn("block", F.col("block") - 1)
+    both = rows.union(ahead)
+
+    def passes(part: pa.Table) -> pa.Table:
+        k, _, place, after = _block(part, target, extent, least, n)
+        end = (k + 1) * size
+        out = np.append(after, n)  # of each row where the first chunk at or behind the block's end starts that follows from it
+        inside = int(np.searchsorted(place, end))
+        first = int(place[0])
+        for i in range(inside - 1, -1, -1):
+            if after[i] < end and after[i] < n:
+                out[i] = out[after[i] - first]
+        many = 1 if k == 0 else min(target, inside)
+        return pa.table([pa.array(np.full(many, k)), pa.array(place[:many]), pa.array(out[:many])], schema=PASSES)
+
+    maps = [staged(both.select("block", "place", *"xyz").groupBy("block").applyInArrow(passes, "block bigint, start bigint, next bigint"), "passes")]
+    lasts = [last]
+    while lasts[-1] > 0:
+        now = maps[-1]
+        right = now.filter(F.col("block") % 2 == 1).select((F.col("block") - 1).alias("block"), F.col("start").alias("next"), F.col("next").alias("beyond"))
+        pairs = now.filter(F.col("block") % 2 == 0).join(right, ["block", "next"], "left")
+        maps.append(staged(pairs.select(F.floor(F.col("block") / 2).alias("block"), "start", F.coalesce("beyond", "next").alias("next")), "passes"))
+        lasts.append(lasts[-1] // 2)
+    starts = rows.sparkSession.createDataFrame([(0, 0)], "block bigint, start bigint")
+    for level in range(len(maps) - 2, -1, -1):  # down again: a left half starts where both do, the right half where the left one leads
+        left = starts.select((F.col("block") * 2).alias("block"), "start")
+        right = left.join(maps[level], ["block", "start"], "left").select((F.col("block") + 1).alias("block"), F.coalesce("next", "start").alias("start"))
+        starts = staged(left.union(right.filter(F.col("block") <= lasts[level])), "starts")
+
+    def label(part: pa.Table, start: pa.Table) -> pa.Table:
+        k, part, place, after = _block(part, target, extent, least, n)
+        inside = int(np.searchsorted(place, (k + 1) * size))
+        cut, at, first = np.zeros(inside, np.int64), start["start"][0].as_py(), int(place[0])
+        while at - first < inside:
+            cut[at - first] = 1
+            at = int(after[at - first])
+        return part.select([*columns, "block"]).slice(0, inside).append_column("local", pa.array(np.cumsum(cut)))
+
+    schema = rows.withColumn("local", F.lit(0).cast("bigint")).select(*columns, "block", "local").schema
+    own = staged(both.groupBy("block").cogroup(starts.groupBy("block")).applyInArrow(label, schema), "labels")
+    before = running_total(own.groupBy("block").agg(F.max("local").alias("cuts")), [], ["block"], "cuts", "before")
+    return own.join(before.select("block", "before"), "block").select(*columns, (F.col("before") + F.col("local") - 1).alias("chunk"))
+
+
+#: Rows of a block at least, and of a chunk that ends before its target.
+BLOCK, LEAST = 1 << 16, 8192
+PASSES = pa.schema([("block", pa.int64()), ("start", pa.int64()), ("next", pa.int64())])
+
+
+def _block(part: pa.Table, target: int, extent: float, least: int, n: int) -> tuple[int, pa.Table, np.ndarray, np.ndarray]:
+    """A block with the rows behind it in order: its number, rows, places, and where the chunk after the one that starts at each row does."""
+    part = part.sort_by("place")
+    place = part["place"].to_numpy()
+    far = np.minimum.reduce([_passed(part[c].to_numpy(), extent) for c in "xyz"])
+    end = np.minimum(np.maximum(far, np.arange(len(place)) + least), np.arange(len(place)) + target)
+    return part["block"][0].as_py(), part, place, np.minimum(place[0] + end, n)
+
+
+def _passed(values: np.ndarray, extent: float) -> np.ndarray:
+    """Of each place the first one behind it with which the values between span more than the extent; beyond the end if there is none."""
+    out = np.full(len(values), 1 << 60, np.int64)
+    low, high, at = deque(), deque(), 0
+    v = values.tolist()
+    for r, x in enumerate(v):
+        while low and v[low[-1]] >= x:
+            low.pop()
+        low.append(r)
+        while high and v[high[-1]] <= x:
+            high.pop()
+        high.append(r)
+        while v[high[0]] - v[low[0]] > extent:
+            out[at] = r
+            at += 1
+            if low[0] < at:
+                low.popleft()
+            if high[0] < at:
+                high.popleft()
+    return out
 
 
 def levels(chunks: DataFrame, count: int) -> DataFrame:

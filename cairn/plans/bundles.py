@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import bundles as B
+from cairn.operators import manifests as N
 from cairn.operators import slicing as L
 from cairn.plans.scalars import r6, sql6
 from cairn.plans.volumes import _BOXES, ORDERED
@@ -71,6 +72,30 @@ def nav_source(spark: SparkSession, sf: str) -> DataFrame:
     return B.taken(chunks, LEVELS, B.refined(_counts(chunks), "coarsest", n // 3, n // 2)).select("level", "chunk", "ordinal", "splat_id")
 
 
+def _manifest(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = _chunks(spark, sf)
+    files = staged(sog.index(sog.encoded(_full(chunks, LEVELS))), "index")
+    return staged(N.written(L.leaves(chunks, 1), files).select(F.lit("all").alias("name"), "text"), "manifest")
+
+
+def manifest_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """The leaves of the manifest of all chunk files, as its text gives them."""
+    return N.leaves(_manifest(spark, sf)).select("leaf", "level", "path", "rows", *r6(*B.SIDES))
+
+
+def manifest_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the manifest of all chunk files, and of every page taken for one."""
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("page-"), F.col("page_id")).alias("name"), F.col("html").alias("text"))
+    return N.summaries(_manifest(spark, sf).union(pages)).select("name", "refused", "levels", "files", F.array_join("sample", " ").alias("sample"), "leaves", "rows")
+
+
+def manifest_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses of pages, some with the manifest's name, some that are none."""
+    k = F.col("page_id")
+    url = F.when(k % 5 == 0, F.concat("url", F.lit("/Lod-Meta.JSON?v=1"))).when(k % 5 == 1, F.concat(F.lit("  "), F.upper("url"), F.lit("/ "))).when(k % 5 == 2, F.concat(F.lit("ftp"), F.col("url"))).otherwise(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", N.resolved_url(url).alias("resolved"), N.is_manifest_url(url).alias("named"))
+
+
 CHUNKS = f"{ORDERED}, v AS MATERIALIZED (SELECT CAST(l AS INTEGER) AS level, chunk, (place - chunk * 500) // CAST(pow(2, l) AS BIGINT) AS ordinal, splat_id, x, y, z, ny, scale, opacity FROM c, range({{levels}}) r(l) WHERE (place - chunk * 500) % CAST(pow(2, l) AS BIGINT) = 0)"
 THREE = CHUNKS.format(levels=LEVELS)
 _COUNTS = "n AS MATERIALIZED (SELECT level, chunk, count(*) AS rows FROM v GROUP BY level, chunk), total AS (SELECT count(*) AS total FROM s)"
@@ -110,8 +135,15 @@ out_ AS (SELECT level, chunk, ordinal, {", ".join(f"sign(g{c}) * (exp(abs(g{c}))
 _ALL = ["x", "y", "z", "opacity", *(f"{n}_{i}" for n, k in (("scale", 3), ("rot", 4), ("f_dc", 3)) for i in range(k))]
 _REGION = """r AS (SELECT c_custkey AS region_id, c_custkey % 11 * 0.9e0 AS ax, c_custkey % 5 * 0.6e0 AS ay, c_custkey % 13 * 0.8e0 AS az, c_custkey % 3 * 1e0 AS dx, c_custkey % 4 * 0.3e0 AS dy, c_custkey % 7 * 0.5e0 AS dz FROM customer)"""
 
-QUERIES = {"sog_files": sog_files, "sog_round_trip": sog_round_trip, "region_chunks": region_chunks, "chunk_budgets": chunk_budgets, "nav_source": nav_source}
+QUERIES = {"sog_files": sog_files, "sog_round_trip": sog_round_trip, "region_chunks": region_chunks, "chunk_budgets": chunk_budgets, "nav_source": nav_source, "manifest_leaves": manifest_leaves, "manifest_summaries": manifest_summaries, "manifest_urls": manifest_urls}
+_URL = "CASE page_id % 5 WHEN 0 THEN url || '/Lod-Meta.JSON?v=1' WHEN 1 THEN '  ' || upper(url) || '/ ' WHEN 2 THEN 'ftp' || url ELSE url END"
+_PARTS = {i: f"regexp_extract(u, '^([hH][tT][tT][pP][sS]?)://([^/?#\\s]+)([^?#]*)(\\?[^#]*)?(#.*)?$', {i})" for i in range(1, 6)}
 SQL = {
+    "manifest_leaves": f"{THREE}, {_COUNTS}, l AS (SELECT chunk, {_BOXES} FROM c GROUP BY chunk) SELECT n.chunk AS leaf, level, level || '_' || n.chunk || '/meta.json' AS path, n.rows, {sql6(*B.SIDES)} FROM n JOIN l USING (chunk)",
+    "manifest_summaries": f"""{THREE}, {_COUNTS} SELECT 'all' AS name, NULL AS refused, 3 AS levels, count(*) AS files, (SELECT string_agg(level || '_' || chunk || '/meta.json', ' ' ORDER BY level, chunk) FROM (SELECT * FROM n ORDER BY level, chunk LIMIT 8)) AS sample, count(DISTINCT chunk) AS leaves, any_value(total) AS rows FROM n, total
+UNION ALL SELECT 'page-' || page_id, 'no JSON', NULL, NULL, NULL, NULL, NULL FROM pages""",
+    "manifest_urls": f"""WITH u AS (SELECT page_id, trim({_URL}) AS u FROM pages), p AS (SELECT page_id, {", ".join(f"{v} AS p{i}" for i, v in _PARTS.items())} FROM u)
+SELECT page_id, CASE WHEN p1 <> '' THEN lower(p1) || '://' || lower(p2) || (CASE WHEN lower(p3) LIKE '%lod-meta.json' THEN p3 ELSE regexp_replace(p3, '/$', '') || '/lod-meta.json' END) || p4 || p5 END AS resolved, p1 <> '' AND lower(p3) LIKE '%lod-meta.json' AS named FROM p""",
     "sog_files": f"{THREE}, {_COUNTS} SELECT row_number() OVER (ORDER BY level, chunk) - 1 AS file, level || '_' || chunk || '/meta.json' AS path, level, chunk, rows, 5 AS planes, rows * 20 AS plane_bytes FROM n",
     "sog_round_trip": f"{ROUND} SELECT level, chunk, ordinal, {sql6(*_ALL)} FROM out_",
     "region_chunks": f"{ORDERED}, l AS (SELECT chunk, {_BOXES} FROM c GROUP BY chunk), {_REGION} SELECT region_id, chunk FROM r JOIN l ON {' AND '.join(f'a{c} <= max_{c} AND a{c} + d{c} >= min_{c}' for c in 'xyz')}",

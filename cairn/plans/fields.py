@@ -104,6 +104,10 @@ def dense_floor(spark: SparkSession, sf: str) -> DataFrame:
     return D.dense_floor(D.build(_splats(spark, sf), S), S).select("cells", *r6("modal_height", "centre_x", "centre_y", "centre_z"))
 
 
+def dense_region(spark: SparkSession, sf: str) -> DataFrame:
+    return D.dense_region(D.build(_splats(spark, sf), S), S).select(*r6(*_SIDES))
+
+
 #: One chain of common table expressions for the stages; each query selects from one.
 FIELD = f"""WITH RECURSIVE s AS ({KEPT}), g AS (SELECT min(x) AS u, min(z) AS v, greatest(ceil((max(x) - min(x)) / 0.5), 1) AS w, greatest(ceil((max(z) - min(z)) / 0.5), 1) AS h, min(y) - 0.48 AS low, greatest(least(ceil((max(y) + 0.48 - (min(y) - 0.48)) / 0.08), 256), 2) AS bins, {_RANK} AS floor FROM s),
 a AS (SELECT x, y, z, least(greatest(greatest(scale, 0.001) * 2.5, 0.25), 2.0) AS reach, greatest(scale, 0.04) AS sigma, opacity * (0.35 + 0.65 * least(abs(ny), 1)) AS base, least(greatest(ceil(greatest(scale, 0.04) * 2.5 / 0.08), 1), 8) AS around FROM s),
@@ -151,7 +155,7 @@ core AS (SELECT any_value(m) AS modal_height, sum((u + (col + 0.5) * 0.5) * d) /
 """
 QUERIES = {
     "cloud_bounds": bounds, "suggested_region": suggested_region, "neighbour_distances": neighbour_distances, "pruned_points": pruned, "field_profiles": profiles, "field_layers": layers,
-    "field_surfaces": surfaces, "field_smoothed": smoothed, "field_classified": classified, "ground_field": ground_field, "field_states": state_counts, "dense_floor": dense_floor,
+    "field_surfaces": surfaces, "field_smoothed": smoothed, "field_classified": classified, "ground_field": ground_field, "field_states": state_counts, "dense_floor": dense_floor, "dense_region": dense_region,
 }
 SQL = {
     "cloud_bounds": BOUNDS, "suggested_region": REGION, "neighbour_distances": NEIGHBOURS, "pruned_points": PRUNED,
@@ -162,5 +166,7 @@ SQL = {
     "field_classified": f"{FIELD} SELECT row, col, state, {sql6('height', 'obstacle_score', 'gradient_x', 'gradient_z')} FROM slope",
     "ground_field": f"{FIELD} SELECT row, col, state, {sql6('height')}, component_row, component_col FROM done",
     "field_states": f"{FIELD} SELECT state, count(*) AS cells, count(DISTINCT (component_row, component_col)) FILTER (component_row IS NOT NULL) AS components FROM done GROUP BY state",
+    "dense_region": f"""{FIELD}{_DENSE}, box AS (SELECT min(u + (col + 0.5) * 0.5) - 1 AS min_x, any_value(m) - 0.6 AS min_y, min(v + (row + 0.5) * 0.5) - 1 AS min_z, max(u + (col + 0.5) * 0.5) + 1 AS max_x, any_value(m) + 3.0 AS max_y, max(v + (row + 0.5) * 0.5) + 1 AS max_z FROM done, modal, g WHERE height BETWEEN m - 0.6 AND m + 3)
+SELECT {", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in _SIDES)} FROM box""",
     "dense_floor": f"{FIELD}{_DENSE} SELECT cells, {sql6('modal_height', 'centre_x', 'centre_y', 'centre_z')} FROM core",
 }

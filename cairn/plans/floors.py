@@ -88,6 +88,21 @@ def modes(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def _room(spark: SparkSession, sf: str) -> tuple[O.Room, Grid]:
+    cells, g = field(spark, sf)
+    return O.room(cells, g, PLANE, S, CELL), g
+
+
+def room_vertices(spark: SparkSession, sf: str) -> DataFrame:
+    found, g = _room(spark, sf)
+    return O.steps(found.cells, g, CELL)[0].select("vertex", *r6("x", "y", "z"))
+
+
+def room_triangles(spark: SparkSession, sf: str) -> DataFrame:
+    found, g = _room(spark, sf)
+    return O.steps(found.cells, g, CELL)[1]
+
+
 FIELD = f"""WITH RECURSIVE base AS (SELECT l_partkey AS row, l_orderkey % {WIDTH} AS col, CAST(sum(l_quantity) AS BIGINT) AS s FROM lineitem GROUP BY ALL), g AS (SELECT max(row) + 1 AS h, {WIDTH} AS w FROM base),
 cell AS MATERIALIZED (SELECT row, col, CASE WHEN row % {WALL} = 0 OR s % 16 = 0 THEN 'obstacle' WHEN s % 16 = 1 THEN 'height_variance' WHEN s % 16 = 2 THEN 'low_confidence' WHEN s % 16 = 3 THEN 'void' WHEN s % 16 = 4 THEN 'filled' ELSE 'walkable' END AS state,
   CASE WHEN s % 16 <> 3 THEN row // {WALL} % 3 * 0.6e0 + s % 7 * 0.05e0 END AS height, s % 4 * 0.02e0 AS confidence, s % 5 * 0.03e0 AS variance, s % 9 * 0.1e0 AS score FROM base),
@@ -121,12 +136,20 @@ levels AS (SELECT a.row, a.col, (list_sort(list(b.height)))[count(*) // 2 + 1] A
 flat AS MATERIALIZED (SELECT own.*, level FROM own LEFT JOIN levels USING (row, col)), plane AS (SELECT CASE WHEN {PLANE} BETWEEN r - 0.5 AND r + 0.45 THEN {PLANE}::DOUBLE ELSE r END AS p FROM ref)"""
 CORNERS = f"""{LEVEL}, mean AS (SELECT row + i AS row, col + j AS col, coalesce(avg(level), any_value(p)) AS m FROM flat, plane, range(2) a(i), range(2) b(j) GROUP BY 1, 2),
 corner_ AS MATERIALIZED (SELECT row, col, CASE WHEN abs(m - p) <= 0.12 THEN p ELSE m END AS height, row_number() OVER (ORDER BY row, col) - 1 AS vertex FROM mean, plane)"""
+ROOM = f"""{FIELD}, {_closure("comp_", "strict")}, part AS (SELECT comp, count(*) AS cells, count(*) * 0.25e0 AS area, avg((col + 0.5) * 0.5) AS centre_x, avg(coalesce(height, 0)) AS centre_y, avg((row + 0.5) * 0.5) AS centre_z FROM comp_ JOIN strict USING (row, col) GROUP BY comp),
+placed AS (SELECT *, sqrt(pow(centre_x - 3, 2) + pow(centre_y - {PLANE}, 2) + pow(centre_z - 18, 2)) AS distance FROM part WHERE cells >= 20 AND area >= 1.2),
+best AS (SELECT comp FROM placed ORDER BY distance > 3.25, CASE WHEN distance > 3.25 THEN 0 ELSE distance - 0.45 * sqrt(area) END, cells DESC, comp LIMIT 1),
+own AS MATERIALIZED (SELECT row, col, height FROM strict JOIN comp_ USING (row, col) JOIN best USING (comp)), mid AS (SELECT (list_sort(list(height)))[count(*) // 2 + 1] AS m FROM own), band AS MATERIALIZED (SELECT own.* FROM own, mid WHERE abs(height - m) <= 0.5), {_closure("piece", "band")},
+top AS (SELECT comp FROM piece GROUP BY comp ORDER BY count(*) DESC, comp LIMIT 1), ok AS (SELECT count(*) > 16 AND (SELECT count(*) FROM band) >= greatest(0.7 * count(*), 16) AND (SELECT count(*) FROM piece JOIN top USING (comp)) >= greatest(0.7 * count(*), 16) AS good FROM own),
+room AS MATERIALIZED (SELECT row, col, height, row_number() OVER (ORDER BY row, col) - 1 AS k FROM own, ok WHERE NOT good OR (row, col) IN (SELECT (row, col) FROM piece JOIN top USING (comp)))"""
 
 QUERIES = {
-    "floor_masks": masks, "bridged_gaps": bridged, "closed_seams": closed, "floor_parts": parts, "floor_levels": levels, "floor_corners": corners, "fast_floor_vertices": vertices, "fast_floor_triangles": triangles,
+    "room_floor_vertices": room_vertices, "room_floor_triangles": room_triangles, "floor_masks": masks, "bridged_gaps": bridged, "closed_seams": closed, "floor_parts": parts, "floor_levels": levels, "floor_corners": corners, "fast_floor_vertices": vertices, "fast_floor_triangles": triangles,
     "trimmed_floor": trimmed, "component_modes": modes,
 }
 SQL = {
+    "room_floor_vertices": f"{ROOM} SELECT k * 4 + n AS vertex, round((col + i) * 0.5e0, 6) + 0.0 AS x, round(height, 6) + 0.0 AS y, round((row + j) * 0.5e0, 6) + 0.0 AS z FROM room, (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) r(n, i, j)",
+    "room_floor_triangles": f"{ROOM} SELECT k * 2 + h AS triangle, k * 4 AS a, k * 4 + 1 + h AS b, k * 4 + 2 + h AS c FROM room, (VALUES (0), (1)) r(h)",
     "floor_masks": f"""{FIELD} SELECT row, col, state IN ('walkable', 'filled') AS strict, state IN ('walkable', 'filled') OR (height IS NOT NULL AND ((state = 'low_confidence' AND variance <= 0.18 AND score <= 0.42)
   OR (state = 'height_variance' AND confidence >= 0.01 AND variance <= 0.08 AND score <= 0.35) OR (state = 'obstacle' AND confidence >= 0.02 AND variance <= 0.05 AND score <= 0.52))) AS relaxed FROM cell""",
     "bridged_gaps": f"{BRIDGED} FROM bridge",

@@ -99,6 +99,18 @@ def spawn_points(spark: SparkSession, sf: str) -> DataFrame:
     return one("companion", I.companion(at, SEED.seed), "triangle").union(one("farthest", I.farthest_vertex(vertices, SEED.seed), "vertex")).union(one("closest", I.closest_centre(at, SEED.seed), "triangle"))
 
 
+def preflight(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the floor tiles of the terrain as they are, and turned upside down."""
+    solid, free, box = _terrain(spark, sf)
+    vertices, triangles = (staged(t, "mesh") for t in M.welded(M.treads(V.walkable(solid, free)), box))
+    out = None
+    for name, own in (("up", triangles), ("down", triangles.select("triangle", F.col("b").alias("a"), F.col("a").alias("b"), "c"))):
+        row, turned = M.preflight(vertices, own)
+        row = row.withColumn("mesh", F.lit(name)).withColumn("turned", F.lit(turned.agg(F.sum(F.col("a") * 2 + F.col("b") * 3 + F.col("c") * 5)).first()[0]))
+        out = row if out is None else out.union(row)
+    return out.select("mesh", "vertices", "finite", "triangles", "flipped", "turned", *r6("up", *(f"{n}_{c}" for n in ("min", "max", "mean") for c in "xyz")))
+
+
 _CORNERS = "corner_(nx, ny, nz, slot, dx, dy, dz) AS (VALUES " + ", ".join(str((*n, i, *c)) for n in V.FACES for i, c in enumerate(V.corners(n))) + ")"
 
 
@@ -147,7 +159,7 @@ _APART = "sqrt(pow(x - 12, 2) + pow(y - 1, 2) + pow(z - 5, 2))"
 QUERIES = {
     "floor_mesh_vertices": floor_vertices, "floor_mesh_triangles": floor_triangles, "shell_mesh_triangles": shell_triangles, "exterior_mesh_triangles": exterior_triangles, "crop_range": crop,
     "walkable_mesh_vertices": walkable_vertices, "walkable_mesh_triangles": walkable_triangles, "mesh_islands": islands, "merged_islands": merged_islands, "island_triangles": island_triangles,
-    "island_choice": island_choice, "spawn_points": spawn_points,
+    "island_choice": island_choice, "spawn_points": spawn_points, "mesh_preflight": preflight,
 }
 SQL = {
     "floor_mesh_vertices": f"{_CARVED}, {_mesh(_TOPS, *_ON_BOX)} SELECT vertex, {sql6('x', 'y', 'z')} FROM at_",
@@ -159,6 +171,8 @@ m AS (SELECT *, CASE WHEN span <= 48 THEN 10 WHEN span <= 96 THEN 6 ELSE 4 END A
 SELECT {", ".join(f"greatest(l{c} - m, 0) AS from_v{c}" for c in "xyz")}, {", ".join(f"least(h{c} + m + 1, d{c}) AS to_v{c}" for c in "xyz")} FROM m, g""",
     "walkable_mesh_vertices": f"{_STEEP} SELECT vertex, {sql6('x', 'y', 'z')} FROM at_",
     "walkable_mesh_triangles": f"{_STEEP}, {_WIDE}, s AS (SELECT triangle, ia AS a, ib AS b, ic AS c, {_SIZE} / 2 AS area, {', '.join(f'{n} / {_SIZE} AS n{c}' for c, n in _N.items())} FROM wide) SELECT triangle, a, b, c, {sql6('area', 'nx', 'ny', 'nz')} FROM s",
+    "mesh_preflight": f"""{_GROUND}, {_mesh(_TOPS, "0.25e0", "0e0")}, m AS (SELECT count(*) AS vertices, {", ".join(f"{f}({c}) AS {n}_{c}" for n, f in (("min", "min"), ("max", "max"), ("mean", "avg")) for c in "xyz")} FROM at_), s AS (SELECT count(*) AS triangles, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM t)
+SELECT mesh, vertices, vertices AS finite, triangles, mesh = 'down' AS flipped, CAST(CASE mesh WHEN 'up' THEN 2 * a + 3 * b + 5 * c ELSE 2 * b + 3 * c + 5 * a END AS BIGINT) AS turned, CASE mesh WHEN 'up' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS up, {sql6(*(f"{n}_{c}" for n in ("min", "max", "mean") for c in "xyz"))} FROM m, s, (VALUES ('up'), ('down')) r(mesh)""",
     "mesh_islands": f"{_NEAREST} {_KEPT}",
     "merged_islands": f"{_MERGED} {_KEPT}",
     "island_triangles": f"{_MERGED}, e AS (SELECT triangle, {_CENTRE} FROM wide) SELECT triangle, island, round({_APART}, 6) + 0.0 AS distance FROM e JOIN i USING (triangle) JOIN k USING (island)",

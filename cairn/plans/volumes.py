@@ -11,7 +11,7 @@ from cairn.operators import slicing as L
 from cairn.operators import voxels as V
 from cairn.plans.scalars import r6, sql6
 from cairn.sources import splats as A
-from cairn.sources.tables import CLOUD_SQL, NUMBERED_SQL, POINTS_SQL, cloud, points, staged, table
+from cairn.sources.tables import CLOUD_SQL, NUMBERED_SQL, POINTS_SQL, TERRAIN_SQL, cloud, points, staged, table, terrain
 
 S = V.VoxelSettings(scene="object", threshold=3.0)
 SEED = (5.0, 3.9, 5.0)
@@ -79,8 +79,9 @@ def exterior(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ramps(spark: SparkSession, sf: str) -> DataFrame:
-    solid, nav, _ = _carved(spark, sf)
-    return V.ramps(V.walkable(solid, nav), 1)
+    """Over the stepped terrain, so that there are ramps at every scale."""
+    solid, nav, _ = terrain(spark, sf)
+    return V.ramps(staged(V.walkable(solid, nav), "treads"), 2)
 
 
 def mask(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,10 +169,24 @@ n(node_id, depth, a, b) AS (SELECT CAST(1 AS BIGINT), 0, CAST(0 AS BIGINT), (SEL
 SELECT node_id, depth, count(*) AS chunks, {", ".join(f"round({n}({n}_{c}), 6) + 0.0 AS {n}_{c}" for n in ("min", "max") for c in "xyz")} FROM n JOIN l ON chunk >= a AND chunk < b GROUP BY node_id, depth"""
 
 
+def extent_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of up to 20,000 rows that end where their box passes six metres."""
+    chunks = L.chunked(L.z_ordered(cloud(spark, sf, numbered=True)), 20_000, 6.0)
+    return chunks.groupBy("chunk").agg(F.count("*").alias("rows"), F.min("place").alias("start"), F.sum("splat_id").alias("ids"))
+
+
 def strided(spark: SparkSession, sf: str) -> DataFrame:
     return L.strided(L.z_ordered(cloud(spark, sf, numbered=True)), "place", 700).select("splat_id", "place")
 
 
+_SPANS = ", ".join(f"max({c}) OVER w - min({c}) OVER w" for c in "xyz")
+#: The step from a chunk's start to the next, from the spans of all rows behind it.
+EXTENTS = ORDERED.replace("WITH s", "WITH RECURSIVE s", 1).replace("o AS (", "o AS MATERIALIZED (", 1) + f""", n AS (SELECT count(*) AS n FROM o), st(p) AS (SELECT CAST(0 AS BIGINT)
+  UNION ALL SELECT coalesce(min(place) FILTER (span > 6.0 AND place >= p + 8192), least(any_value(p) + 20000, any_value(n))) FROM (SELECT p, n, place, greatest({_SPANS}) AS span FROM st, n, o WHERE place >= p AND place < p + 20000 AND p + 1 <= n WINDOW w AS (ORDER BY place)) GROUP BY p),
+t AS (SELECT p AS start, row_number() OVER (ORDER BY p) - 1 AS chunk, coalesce(lead(p) OVER (ORDER BY p), (SELECT n FROM n)) AS stop FROM st WHERE p < (SELECT n FROM n))
+SELECT chunk, count(*) AS rows, start, CAST(sum(splat_id) AS BIGINT) AS ids FROM t JOIN o ON place >= start AND place < stop GROUP BY chunk, start"""
+
+
 def quantized_means(spark: SparkSession, sf: str) -> DataFrame:
     return Q.quantized_means(points(spark, sf)).select("splat_id", *(f"{c}_{h}" for c in "xyz" for h in ("low", "high")))
 
@@ -232,7 +247,7 @@ SELECT opacity, sx, count(*) AS splats, round(min(y), 5) AS min_y, round(max(z),
 QUERIES = {
     "voxel_densities": densities, "solid_bounds": solid_bounds, "dilated_solid": dilated, "floor_filled": floor_filled, "exterior_fill": exterior_fill, "carved_space": carved, "walkable_floors": walkable,
     "shell_faces": shell, "exterior_faces": exterior, "floor_ramps": ramps, "solid_mask": mask, "unpacked_mask": unmasked, "ground_below": ground, "capsule_states": capsules, "coarse_clusters": clusters,
-    "z_order_chunks": order_chunks, "chunk_levels": level_counts, "chunk_leaves": chunk_leaves, "lod_tree": lod_tree, "strided_sample": strided,
+    "z_order_chunks": order_chunks, "chunk_levels": level_counts, "chunk_leaves": chunk_leaves, "lod_tree": lod_tree, "extent_chunks": extent_chunks, "strided_sample": strided,
     "quantized_means": quantized_means, "codebook": codebook, "codebook_places": codebook_places, "palette_labels": palette, "ply_round_trip": ply_round_trip,
 }
 SQL = {
@@ -248,7 +263,7 @@ SELECT vx, vy, vz, false AS leaked FROM (FROM wide UNION FROM outer_)""",
     "walkable_floors": f"{BOX}, {_NAV}, {_TREAD} SELECT vx, vy, vz, round(y0 + (vy + 1) * 0.5, 6) AS top_y FROM tread, g",
     "shell_faces": f"{BOX}, {_NAV} SELECT * FROM {_FACES} WHERE (ox, oy, oz) IN (FROM nav) AND (ox, oy, oz) NOT IN (FROM solid)",
     "exterior_faces": f"{BOX} SELECT * FROM {_FACES} WHERE (ox, oy, oz) NOT IN (FROM solid)",
-    "floor_ramps": f"{BOX}, {_NAV}, {_TREAD} SELECT t.vx, t.vy, t.vz, o.vx AS ox, o.vy AS oy, o.vz AS oz FROM tread t JOIN tread o ON abs(t.vy - o.vy) = 1 AND ((o.vx = t.vx + 1 AND o.vz = t.vz) OR (o.vx = t.vx AND o.vz = t.vz + 1))",
+    "floor_ramps": f"WITH {TERRAIN_SQL}, {_TREAD} SELECT t.vx, t.vy, t.vz, o.vx AS ox, o.vy AS oy, o.vz AS oz FROM tread t CROSS JOIN (VALUES (1, 0), (0, 1)) r(i, k) JOIN tread o ON o.vx = t.vx + i AND o.vz = t.vz + k AND abs(t.vy - o.vy) BETWEEN 1 AND 2",
     "solid_mask": f"{BOX} SELECT ((vy * dz + vz) * dx + vx) // 8 AS byte_index, CAST(sum(pow(2, ((vy * dz + vz) * dx + vx) % 8)) AS INTEGER) AS byte FROM solid, g GROUP BY 1",
     "unpacked_mask": f"{BOX} FROM solid",
     "ground_below": f"""{BOX}, q AS (SELECT o_orderkey AS point_id, (o_orderkey % 41) / 4.0 AS x, (o_custkey % 43) / 4.0 AS z FROM orders),
@@ -263,6 +278,7 @@ w(vx, vy, vz) AS (FROM t UNION SELECT f.vx, f.vy, f.vz FROM w, {_STEPS} JOIN o f
     "chunk_levels": f"{ORDERED} SELECT CAST(l AS INTEGER) AS level, chunk, count(*) AS rows, CAST(sum(splat_id) AS BIGINT) AS ids FROM c, range(3) r(l) WHERE (place - chunk * 500) % CAST(pow(2, l) AS BIGINT) = 0 GROUP BY l, chunk",
     "chunk_leaves": f"{ORDERED}, l AS (SELECT chunk, count(*) AS rows, {_BOXES} FROM c GROUP BY chunk) SELECT chunk, rows, {sql6(*_BOX_NAMES)}, rows AS level_0, CAST(ceil(rows / 2) AS BIGINT) AS level_1, CAST(ceil(rows / 4) AS BIGINT) AS level_2 FROM l",
     "lod_tree": TREE,
+    "extent_chunks": EXTENTS,
     "strided_sample": f"{ORDERED} SELECT splat_id, place FROM c WHERE place IN (SELECT i * (SELECT count(*) FROM c) // 700 FROM range(700) r(i))",
     "quantized_means": MEANS,
     "codebook": f"{_BOOK} SELECT entry, {sql6('value')} FROM b",

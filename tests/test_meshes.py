@@ -318,3 +318,78 @@ def test_budgets_are_shared_in_order_and_levels_refined(spark):
     assert level("nav", 200, 250) == {1} and level("coarsest", 120, 250) == {2} and level("nav", 10**9, 250) == {0} and level(2, 10**9, 10) == {2} and level("finest", 0, 10) == {0}
     with pytest.raises(ValueError):
         B.refined(counts, 7)
+
+
+def test_rooms_and_the_ladder_of_settings(spark):
+    cells, g = field(spark, ["." * 8 + " " + "." * 12] * 6)
+    found = O.room(cells, g, 1.0, O.FloorSettings(seed=(1.0, 9.0, 1.0), room=4.0))
+    assert found.cells.count() == 48 and found.area == pytest.approx(12.0) and not found.relaxed
+    far = O.room(cells, g, 1.0, O.FloorSettings(seed=(90.0, 9.0, 1.0), room=4.0))
+    assert far.cells.count() == 72 and far.relaxed
+    vertices, triangles = O.steps(found.cells, g, 0.5)
+    at, faces = mesh_of(vertices, triangles)
+    assert len(at) == 4 * 48 and len(faces) == 96 and all(np.cross(at[b] - at[a], at[c] - at[a])[1] > 0 for a, b, c in faces)
+    with pytest.raises(O.NoFloor):
+        O.room(cells, g, 1.0, O.FloorSettings(room=1000.0))
+    splats = spark.createDataFrame([(i, x * 0.1, 0.0, z * 0.1, 1.0, 0.9, 0.1) for i, (x, z) in enumerate((x, z) for x in range(40) for z in range(40))], "splat_id long, x double, y double, z double, ny double, opacity double, scale double")
+    label, room, _ = O.recovered(splats, ladder=(("none", {"density": 1e9}, 4.0), ("some", {}, 4.0)))
+    assert label == "some" and room.area >= 4.0
+    with pytest.raises(O.NoFloor, match="none.*some"):
+        O.recovered(splats, ladder=(("none", {"density": 1e9}, 4.0), ("some", {}, 4000.0)))
+
+
+def test_chunks_of_many_blocks_equal_a_plain_scan(spark, monkeypatch):
+    from cairn.operators import slicing as L
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(L, "BLOCK", 40)
+    monkeypatch.setattr(L, "LEAST", 3)
+    for target, extent, n in ((10, 2.0, 777), (12, 0.5, 400), (7, 100.0, 300), (10, 2.0, 39), (10, 2.0, 1)):
+        xyz = np.cumsum(rng.normal(0, 0.4, (n, 3)), axis=0)
+        starts, at, least = [], 0, max(target // 8, 3)
+        while at < n:
+            starts.append(at)
+            end = at + 1
+            while end < n and end - at < target and not (end - at >= least and (np.ptp(xyz[at : end + 1], axis=0) > extent).any()):
+                end += 1
+            at = end
+        rows = spark.createDataFrame([(i, *map(float, p), "x") for i, p in enumerate(xyz)], "place long, x double, y double, z double, block string").drop("block")
+        got = L.chunked(rows, target, extent).groupBy("chunk").agg({"place": "min"}).orderBy("chunk").collect()
+        assert [(r[0], r[1]) for r in got] == list(enumerate(starts))
+    assert L.chunked(rows.limit(0), 10, 2.0).count() == 0
+
+
+def test_manifests_are_written_read_and_refused(spark):
+    from cairn.operators import manifests as X
+    from cairn.operators import slicing as L
+
+    r = random.Random(1)
+    points = spark.createDataFrame([(i, *(r.uniform(0, 9) for _ in range(3))) for i in range(70)], "splat_id long, x double, y double, z double")
+    chunks = L.chunked(L.z_ordered(points), 10)
+    leaf = L.leaves(chunks, 1)
+    files = spark.createDataFrame([(level * 7 + c, f"{level}_{c}/meta.json", level, c, 10 >> level) for level in range(2) for c in range(7)], "file long, path string, level int, chunk long, rows long")
+    text = X.written(leaf, files).first()["text"]
+    boxes = {x["chunk"]: x for x in leaf.collect()}
+    got = X.leaves(spark.createDataFrame([("a", text), ("b", "{}"), ("c", None)], "name string, text string")).collect()
+    assert {(g["leaf"], g["level"], g["path"], g["rows"]) for g in got} == {(c, v, f"{v}_{c}/meta.json", 10 >> v) for c in range(7) for v in range(2)}
+    assert all(g[s] == boxes[g["leaf"]][s] for g in got for s in B.SIDES)
+    one = X.summaries(spark.createDataFrame([("a", text)], "name string, text string")).first()
+    assert (one["refused"], one["levels"], one["files"], one["leaves"], one["rows"]) == (None, 2, 14, 7, 70) and len(one["sample"]) == 8
+    assert X.layout_fault(text) is None
+    assert [X.refusal(t) for t in (None, "[]", "{}", '{"levels": []}', '{"filenames": []}', '{"filenames": [], "lodLevels": 1}')] == ["no JSON", "no object", "no files", "older schema", "no levels", "no tree"]
+    whole = '{"filenames": ["lod0/meta.json"], "lodLevels": 1, "tree": {"bound": {"min": [0, 0, 0], "max": [1, 1, 99]}}}'
+    assert X.layout_fault(whole) == "whole levels" and X.layout_fault(whole.replace("lod0", "0_0")) == "one leaf" and X.layout_fault(whole.replace("lod0", "x")) == "other names"
+    assert X.written(leaf.limit(0), files).count() == 0
+    members = spark.createDataFrame([("z", "top/lod-meta.json"), ("z", "top\\\\0_0/./meta.json"), ("z", "other/x"), ("z", "top/"), ("y", "/0_0/meta.json"), (None, "q/lod-meta.json")], "name string, path string")
+    assert {tuple(x) for x in X.rooted(members).collect()} == {("z", "lod-meta.json"), ("z", "0_0/meta.json"), ("z", "other/x"), ("y", "0_0/meta.json"), (None, "lod-meta.json")}
+
+
+def test_preflight_counts_odd_vertices_and_turns_meshes_over(spark):
+    vertices = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 1.0), (2, 1.0, 0.0, 1.0), (3, float("nan"), 0.0, 0.0), (4, 9.0, float("inf"), 0.0)], "vertex long, x double, y double, z double")
+    up = spark.createDataFrame([(0, 0, 1, 2)], "triangle long, a long, b long, c long")
+    row, same = M.preflight(vertices, up)
+    r = row.first()
+    assert (r["vertices"], r["finite"], r["triangles"], r["up"], r["flipped"], r["max_x"]) == (5, 3, 1, 1.0, False, 1.0) and same.collect() == up.collect()
+    row, turned = M.preflight(vertices, spark.createDataFrame([(0, 1, 0, 2)], "triangle long, a long, b long, c long"))
+    assert row.first()["flipped"] and [tuple(t) for t in turned.collect()] == [(0, 1, 2, 0)]
+    assert M.preflight(vertices, up.limit(0))[0].first()["up"] == 0.0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import LOWER, NOT_ALNUM, carried, carried_sql, slices, small_batches, span_hashes, table, uncarried, word_spans
+from cairn.llm.common import LOWER, NOT_ALNUM, carried, carried_sql, slices, small_batches, span_hashes, table, tidy, uncarried, word_spans
 from cairn.llm.suffix import find, suffix_array
 
 WINDOW = 10
@@ -136,7 +136,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, .
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast(Windows([(r.item_id, r.text) for r in rows]))
         kept = ", ".join(f"{c} {MATCH}" for c in found)
-        out = small_batches(out).mapInArrow(_marker(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary{handed_on}, {kept + ', ' if kept else ''}n_words bigint, found {MATCH}").withColumnRenamed("found", f"found{k}")
+        out = small_batches(out).mapInArrow(tidy(_marker(shared)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary{handed_on}, {kept + ', ' if kept else ''}n_words bigint, found {MATCH}").withColumnRenamed("found", f"found{k}")
         found.append(f"found{k}")
     own = out.select("doc_id", F.col("text").cast("string").alias("text"), "n_words", F.flatten(F.array(*found)).alias("matches"), *(c for c in out.columns if c.startswith("carried_")))
     return uncarried(own, carry)

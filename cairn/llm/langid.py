@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import LOWER, SLICE_BYTES, arrow_batch, carried, carried_sql, id_bucket, slices, small_batches, table, uncarried, with_carried
+from cairn.llm.common import LOWER, SLICE_BYTES, arrow_batch, carried, carried_sql, id_bucket, slices, small_batches, table, tidy, uncarried, with_carried
 
 BUCKETS = 1 << 16
 #: Margins are mean log-odds a trigram; the loss sees them this many times larger.
@@ -128,7 +128,7 @@ def fit(labelled: DataFrame) -> Model:
     """Learns from all rows (text, lang) with a lang. What reaches the driver is a count for each language
     and bucket, of which there are 65,536 a language however many texts there are."""
     rows = labelled.filter("lang is not null and text is not null").selectExpr("cast(lang as string) lang", "cast(text as binary) text")
-    counts = small_batches(rows).mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = small_batches(rows).mapInArrow(tidy(_count), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     out = np.zeros((len(langs), BUCKETS))
     out[np.searchsorted(np.array(langs, object), counts["lang"].to_numpy()) if langs else [], counts["bucket"].to_numpy()] = counts["n"].to_numpy()
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), with_tex
                 yield own(arrow_batch(PREDICTED, doc_id=part["doc_id"], lang_pred=lang.tolist(), score=np.where(letters, score, 0.0), ambiguous=unclear & letters), part)
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), *carried(carry))
-    out = small_batches(narrow).mapInArrow(run, "doc_id bigint, lang_pred string, score double, ambiguous boolean" + (", text binary" if with_text else "") + carried_sql(narrow))
+    out = small_batches(narrow).mapInArrow(tidy(run), "doc_id bigint, lang_pred string, score double, ambiguous boolean" + (", text binary" if with_text else "") + carried_sql(narrow))
     return uncarried(out.withColumn("text", F.col("text").cast("string")) if with_text else out, carry)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import LOWER, SPACES, U64, arrow_batch, discard, mix, slices, small_batches, span_hashes, staged, table, word_spans
+from cairn.llm.common import LOWER, SPACES, U64, arrow_batch, discard, mix, slices, small_batches, span_hashes, staged, table, tidy, word_spans
 from cairn.operators.components import connected_components
 
 #: 225 registers in 45 bands of 5: a pair of similarity 0.75 shares no band with probability 5e-6, one of 0.3 shares one with 0.1.
@@ -139,7 +139,7 @@ def _full_sets(stars: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
     wanted = stars.select("c").union(stars.select(F.col("pivot").alias("c"))).distinct()
     sources = classes.select("c", "source.doc_id", "source.text_hash").join(wanted.hint("merge"), "c", "left_semi")
     found = texts.join(sources.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "c"])
-    return staged(small_batches(found.select("c", "text")).mapInArrow(_sets, "c bigint, shingles array<bigint>"), "sets")
+    return staged(small_batches(found.select("c", "text")).mapInArrow(tidy(_sets), "c bigint, shingles array<bigint>"), "sets")
 
 
 def _differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     another id; such a row is kept only if its component has no id at all."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    features = staged(small_batches(texts).mapInArrow(_features, "doc_id bigint, text_hash bigint, n_shingles bigint, key binary, bands array<bigint>"), "features")
+    features = staged(small_batches(texts).mapInArrow(tidy(_features), "doc_id bigint, text_hash bigint, n_shingles bigint, key binary, bands array<bigint>"), "features")
     source = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_hash")
     classes = features.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min(source).alias("source"), F.first("bands").alias("bands"))
     classes = staged(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # numbers hold once written

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import U64, arrow_batch, carried, carried_sql, mix, slices, small_batches, span_hashes, staged, table, uncarried, with_carried
+from cairn.llm.common import U64, arrow_batch, carried, carried_sql, mix, slices, small_batches, span_hashes, staged, table, tidy, uncarried, with_carried
 from cairn.llm.suffix import bytes_at, common_prefixes, find, suffix_array
 
 LENGTH, ANCHOR = 400, 64
@@ -194,14 +194,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *carried(carry))
     handed_on = [c for c in base.columns if c.startswith("carried_")]
     base = base.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text", *handed_on)
-    found = staged(small_batches(base.filter(F.octet_length("text") >= length).select("key", "doc_id", "text")).mapInArrow(_segments(length), "key bigint, doc_id bigint, start int, n int, anchor bigint, seg bigint, multi boolean"), "segments")
+    found = staged(small_batches(base.filter(F.octet_length("text") >= length).select("key", "doc_id", "text")).mapInArrow(tidy(_segments(length)), "key bigint, doc_id bigint, start int, n int, anchor bigint, seg bigint, multi boolean"), "segments")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.max("multi").alias("within"))
     anchors = anchors.filter("times > 1 or within").select("anchor", (F.col("within") | (F.col("s0") != F.col("s1"))).alias("sort"))
     candidates = staged(found.drop("multi").join(anchors, "anchor"), "candidates")
     # Segments whose anchor stands in other texts, too: one instance of each text, and how many it stands for.
     reps = candidates.filter("sort").groupBy("anchor", "seg").agg(F.first("key").alias("key"), F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n").alias("n"), F.count("*").alias("copies"))
     wanted = reps.groupBy("key", "doc_id").agg(F.collect_list(F.struct("anchor", "seg", "start", "n", "copies")).alias("wanted"))
-    texts = base.join(wanted.hint("shuffle_hash"), ["key", "doc_id"]).select("text", "wanted").mapInArrow(_texts(length), "anchor bigint, seg bigint, n int, copies bigint, bytes binary")
+    texts = base.join(wanted.hint("shuffle_hash"), ["key", "doc_id"]).select("text", "wanted").mapInArrow(tidy(_texts(length)), "anchor bigint, seg bigint, n int, copies bigint, bytes binary")
     texts = staged(texts, "texts")
     size = F.octet_length("bytes").cast("bigint")
     total = texts.agg(F.sum(size)).first()[0] or 0
@@ -272,7 +272,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with its columns, text without the repeated strings; bytes of characters of which a part was removed go, too."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     spans = repeated_spans(docs, carry=carry)
-    return uncarried(spans.mapInArrow(_kept, "doc_id bigint, text string" + carried_sql(spans)), carry).select(*docs.columns)
+    return uncarried(spans.mapInArrow(tidy(_kept), "doc_id bigint, text string" + carried_sql(spans)), carry).select(*docs.columns)
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,12 @@ from cairn.llm import pieces
 from cairn.llm.bpe import byte_labels
 from cairn.llm.common import arrow_batch, small_batches, staged, table
 
-#: Words whose groups a worker keeps for the next time, twice (the ones before these, too): some 150 MB.
-KEPT = 200_000
+#: Words whose groups a worker keeps for the next time, twice (the ones before these, too): some 100 MB.
+KEPT = 150_000
 #: Characters of a text that are cut into words, and of new words that are encoded, at a time.
 STRETCH = 1 << 20
+#: Fixed value: how texts are split before bytes are merged.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Both vocabularies start anew here: a space between characters that aren't white.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A text in which some spaces stand otherwise.
@@ -56,14 +58,13 @@ def stretches(text: str) -> Iterator[str]:
 
 
 class Word:
-    """The groups of a word with a space in front: their keys, `a1,a2|b1` each, and numbers of tokens and links; keys is None where the
-    tokens' bytes aren't the word's."""
+    """The groups of a word with a space in front, `a1,a2|b1;a3|b2`, and numbers of tokens and links; groups is None where the tokens' bytes
+    aren't the word's."""
 
-    __slots__ = ("a", "b", "keys", "links", "text")
+    __slots__ = ("a", "b", "groups", "links")
 
-    def __init__(self, keys: list[str] | None, a: int = 0, b: int = 0, links: int = 0):
-        self.keys, self.a, self.b, self.links = keys, a, b, links
-        self.text = ";".join(keys) if keys else ""
+    def __init__(self, groups: str | None, a: int = 0, b: int = 0, links: int = 0):
+        self.groups, self.a, self.b, self.links = groups, a, b, links
 
 
 class Aligner:
@@ -76,7 +77,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
-        self.b = pieces.Pieces(path_b)
+        self.b, self.library = pieces.Pieces(path_b), pieces.library(path_b)
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
         byte = {c: b for b, c in enumerate(byte_labels())}
@@ -84,14 +85,31 @@ class Aligner:
         names = {i: t for t, i in (spec["model"]["vocab"] | special).items()}
         self.bytes_a = [names[i].encode() if names[i] in special else bytes(byte[c] for c in names[i]) for i in range(len(names))]
         self.bytes_b = self.b.labels
+        self.ranks = self._ranked(spec)
         self.size_a, self.size_b = (np.array([len(x) for x in own]) for own in (self.bytes_a, self.bytes_b))
         self.kept: dict[str, Word] = {}
         self.older: dict[str, Word] = {}
         self.linked: dict[str, tuple[int, ...]] = {}
 
-    def _tokens(self, text: str) -> tuple[list[int], list[int]]:
+    def _ranked(self, spec: dict):
+        """The same vocabulary for a quicker library, if its merges stand in the order of their ids and texts are split as usual; else None."""
+        vocabulary, split = spec["model"]["vocab"], spec.get("pre_tokenizer") or {}
+        merged = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not spec.get("normalizer")
+        if not usual or merged != sorted(set(merged)) or min(merged, default=1 << 30) <= max((vocabulary[c] for c in vocabulary if len(c) == 1), default=-1):
+            return None
+        import tiktoken
+
+        own = set(vocabulary.values()) - {t["id"] for t in spec["added_tokens"]}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={self.bytes_a[i]: i for i in own}, special_tokens={})
+
+    def _tokens(self, text: str, some: list[str]) -> tuple[list[int], list[int]]:
+        if len(some) > 1 and self.ranks:  # short words without odd spaces
+            return self.ranks.encode_ordinary(" " + text), self.library.encode(text, num_threads=1)
+        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        b = self.b.encode(text)
         self.b.made = []  # the library's check of these belongs to `pieces`
-        return self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        return a, b
 
     def _exact(self, text: str, a: list[int], b: list[int]) -> bool:
         whole = (" " + text).encode()
@@ -100,7 +118,7 @@ class Aligner:
     def aligned(self, some: list[str]) -> list[Word]:
         """The groups of words, that stand one behind the other in one text."""
         text = " ".join(some)
-        a, b = self._tokens(text)
+        a, b = self._tokens(text, some)
         if not self._exact(text, a, b):
             return [Word(None)] if len(some) == 1 else [w for s in some for w in self.aligned([s])]
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
@@ -111,26 +129,22 @@ class Aligner:
         if not (ends[last] == bounds).all():
             raise ValueError("a vocabulary has tokens across words")
         links = np.cumsum(np.diff(to_a, prepend=0) * np.diff(to_b, prepend=0))
-        name_a, name_b = list(map(str, a)), list(map(str, b))
-        out, keys, i, j = [], [], 0, 0
-        for k, m in zip(to_a.tolist(), to_b.tolist(), strict=True):
-            keys.append((name_a[i] if k == i + 1 else ",".join(name_a[i:k])) + "|" + (name_b[j] if m == j + 1 else ",".join(name_b[j:m])))
-            i, j = k, m
-        at = done_a = done_b = done = 0
-        for to in (last + 1).tolist():
-            n_a, n_b, n = int(to_a[to - 1]), int(to_b[to - 1]), int(links[to - 1])
-            out.append(Word(keys[at:to], n_a - done_a, n_b - done_b, n - done))
-            at, done_a, done_b, done = to, n_a, n_b, n
-        return out
+        sides = []
+        for ids, to in ((a, to_a.tolist()), (b, to_b.tolist())):
+            names = list(map(str, ids))
+            sides.append([names[i] if j == i + 1 else ",".join(names[i:j]) for i, j in zip([0, *to], to, strict=False)])
+        keys = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
+        at = (last + 1).tolist()
+        many = zip(*(np.diff(x[last], prepend=0).tolist() for x in (to_a, to_b, links)), strict=True)
+        return [Word(";".join(keys[i:j]), *n) for i, j, n in zip([0, *at], at, many, strict=False)]
 
     def known(self, some: list[str]) -> list[Word]:
         """The groups of distinct words; those that are new are encoded together."""
-        found = {w: x for w in some if (x := self.kept.get(w) or self.older.get(w))}
-        regular, size, queues = [], 0, []
-        for w in some:
-            if w in found:
-                continue
-            if not w or w[0].isspace() or w[-1].isspace() or pieces.SPACE in w or len(w) > 1000:
+        old, kept = self.older, self.kept
+        found = [kept.get(w) or old.get(w) for w in some]
+        regular, size, queues, new = [], 0, [], {}
+        for w in (w for w, x in zip(some, found, strict=True) if x is None):
+            if len(w) >= pieces.SHORT or not w or w[0].isspace() or w[-1].isspace() or pieces.SPACE in w:
                 queues.append([w])
                 continue
             regular.append(w)
@@ -139,20 +153,19 @@ class Aligner:
                 queues.append(regular)
                 regular, size = [], 0
         for queue in [*queues, regular]:
-            for w, x in zip(queue, self.aligned(queue) if queue else [], strict=True):
-                found[w] = x
-                if len(w) < 100:
-                    if len(self.kept) >= KEPT:
-                        self.older, self.kept = self.kept, {}
-                    self.kept[w] = x
-        return [found[w] for w in some]
+            new.update(zip(queue, self.aligned(queue) if queue else [], strict=True))
+        kept.update((w, x) for w, x in new.items() if len(w) < pieces.SHORT)
+        kept.update((w, x) for w, x in zip(some, found, strict=True) if x is not None)
+        if len(kept) >= KEPT:
+            self.older, self.kept = kept, {}
+        return [x or new[w] for w, x in zip(some, found, strict=True)]
 
     def pairs(self, key: str) -> tuple[int, ...]:
         """The distinct links of a group, A << 32 | B."""
         if (own := self.linked.get(key)) is None:
             a, _, b = key.partition("|")
             own = tuple({int(x) << 32 | int(y) for x in set(a.split(",")) for y in set(b.split(","))})
-            if len(self.linked) >= 2 * KEPT:
+            if len(self.linked) >= KEPT:
                 self.linked.clear()
             self.linked[key] = own
         return own
@@ -205,18 +218,19 @@ def block(own: Aligner, number: int, doc_ids: pa.Array, texts: Iterator[str | No
     index = numbered()
     used = [np.concatenate([np.fromiter(map(index.__getitem__, words(s)), np.int64) for s in stretches(t)]) if t else np.zeros(0, np.int64) for t in texts]
     found = own.known(list(index))
-    bad = np.array([w.keys is None for w in found], bool)
+    bad = np.array([w.groups is None for w in found], bool)
     used = [u if not bad[u].any() else u[:0] for u in used]
     groups = numbered()
-    of_word = np.array([groups[k] for w in found for k in w.keys or ()], np.int64)
-    n_words = np.array([len(w.keys or ()) for w in found], np.int64)
+    split = [w.groups.split(";") if w.groups else () for w in found]
+    of_word = np.array([groups[k] for keys in split for k in keys], np.int64)
+    n_words = np.array(list(map(len, split)), np.int64)
     starts = np.cumsum(n_words) - n_words
     n_a, n_b, links = (np.array([getattr(w, name) for w in found], np.int64) for name in ("a", "b", "links"))
     digests, numbers, times = [], [], []
     for u in used:
         digest = hashlib.sha256()
         for at in range(0, len(u), STRETCH // 8):
-            digest.update(((";" if at else "") + ";".join([found[i].text for i in u[at : at + STRETCH // 8].tolist()])).encode())
+            digest.update(((";" if at else "") + ";".join([found[i].groups for i in u[at : at + STRETCH // 8].tolist()])).encode())
         digests.append(digest.hexdigest() if len(u) else "")
         distinct, count = np.unique(u, return_counts=True)
         each = of_word[_spread(starts[distinct], n_words[distinct])]

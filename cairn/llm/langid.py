@@ -163,6 +163,7 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), with_tex
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of all documents, learned from those that aren't held out; see fit() and predict()."""
     docs = table(spark, sf_dir, "documents")
     held_out = id_bucket("doc_id", FOLDS) == HELD_OUT
     return predict(docs, fit(docs.filter(~held_out).select("text", "lang"))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")

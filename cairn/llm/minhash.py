@@ -266,6 +266,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate groups of all documents; see near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

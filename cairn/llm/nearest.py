@@ -134,6 +134,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth; rows that can't be compared take no part."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter(F.col("vec_id") % EVERY == 0))
 

@@ -276,6 +276,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strings that start elsewhere, too, remove from all documents; see repeated_spans()."""
     return repeated_spans(table(spark, sf_dir, "documents")).mapInArrow(_digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 

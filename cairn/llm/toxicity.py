@@ -200,6 +200,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of all documents, learned from the labels of those that aren't held out; see fit() and score()."""
     docs, held_out = table(spark, sf_dir, "documents"), id_bucket("doc_id", FOLDS) == 0
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").filter(~held_out))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_passages"))

@@ -230,6 +230,7 @@ def read_warc(spark: SparkSession, where: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives of the old kind, converted, and read again; see convert()."""
     return read_warc(spark, convert(spark, write_arc(table(spark, sf_dir, "pages"))))
 
 

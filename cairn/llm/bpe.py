@@ -23,12 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import arrow_batch, small_batches, table
+from cairn.llm.common import arrow_batch, small_batches, table, tidy
 
 #: Stretches of text whose tokens a worker keeps for the next time, twice (the ones before these, too): some 40 MB.
 KEPT_CHUNKS = 100_000
-#: Rows of the table that a worker keeps before it starts anew: some 130 MB.
-KEPT_STATES = 200_000
+#: Rows of the table that a worker keeps before it starts anew: some 90 MB.
+KEPT_STATES = 140_000
 END = "</w>"
 WORD_END = 256  # the symbol after a word's bytes
 #: Letters and numbers that are newer than the Unicode version (16) by which the file's pattern splits, and upper-case
@@ -43,6 +43,8 @@ NEWER_NUMBERS = """
     11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6
 """
 NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+#: Bytes of characters before the first of these, and characters that are white space to Python but not to the file's pattern.
+BELOW, SEPARATORS = bytes(range(0xE1)), "\x1c\x1d\x1e\x1f"
 NEWER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
 
@@ -204,23 +206,25 @@ class Tokenizer:
             self.chunks[chunk] = entry
         return entry
 
-    def entries(self, text: str) -> Iterator[str]:
+    def entries(self, text: str) -> list[str]:
         """The ids of the tokens of each stretch of text between white space; empty for stretches of no token."""
         parts = self.special_split.split(text) if self.special_split and "<|" in text else [text]
+        out: list[str] = []
         for i, part in enumerate(parts):
             if i % 2:
-                yield str(self.special[part])
+                out.append(str(self.special[part]))
                 continue
             if not unicodedata.is_normalized("NFC", part):
                 part = unicodedata.normalize("NFC", part)
             part = part.replace("Σ", "σ").lower()  # each character by itself: no final sigma
-            if not part.isascii() and self.newer_upper.search(part):
+            if not part.isascii() and part.encode().translate(None, BELOW) and self.newer_upper.search(part):
                 part = part.translate(NEWER_LOWER)
-            odd = not part.isascii() or any(c in part for c in "\x1c\x1d\x1e\x1f")
             get, make = self.chunks.get, self._chunk
-            for chunk in self.space.split(part) if odd else part.split():
-                if chunk:
-                    yield get(chunk) or make(chunk)
+            chunks = part.split()
+            if any(c in part for c in SEPARATORS):  # white space to Python alone
+                chunks = [c for c in self.space.split(part) if c]
+            out += [get(c) or make(c) for c in chunks]
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids in self.entries(text) for i in ids.split()]
@@ -291,10 +295,11 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows[2].append(hashlib.sha256(" ".join(map(t.names.__getitem__, tokens)).encode()).hexdigest())
             yield arrow_batch(DIGESTS, doc_id=batch["doc_id"], n_tokens=rows[0], ids_sha256=rows[1], decoded_sha256=rows[2])
 
-    return small_batches(_narrow(docs)).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return small_batches(_narrow(docs)).mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the tokens of all documents; see token_digests()."""
     return token_digests(table(spark, sf_dir, "documents"))
 
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.operators import bundles as B
 from cairn.operators import cloud as C
@@ -16,7 +17,7 @@ from cairn.operators import rays as R
 from cairn.operators import voxels as V
 from cairn.operators.field import Grid
 from cairn.sources import sog
-from cairn.sources.tables import running_total
+from cairn.sources.tables import running_total, staged
 
 VOXELS = "vx long, vy long, vz long"
 BOX = V.Box((-1.0, 0.5, 2.0), (12, 10, 11), 0.25)
@@ -393,3 +394,13 @@ def test_preflight_counts_odd_vertices_and_turns_meshes_over(spark):
     row, turned = M.preflight(vertices, spark.createDataFrame([(0, 1, 0, 2)], "triangle long, a long, b long, c long"))
     assert row.first()["flipped"] and [tuple(t) for t in turned.collect()] == [(0, 1, 2, 0)]
     assert M.preflight(vertices, up.limit(0))[0].first()["up"] == 0.0
+
+
+def test_many_staged_rows_are_not_gathered_on_the_driver(spark):
+    rows = staged(spark.range(300_000).select(F.col("id").alias("k"), F.lit(0).alias("v")), "many")
+    few = staged(spark.range(5).select(F.col("id").alias("k")), "few")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
+    wide = spark.range(1_000_000).select(F.col("id").alias("k"))
+    assert "BroadcastHashJoin" not in plan(wide.join(rows.filter("v = 0"), "k"))
+    assert "BroadcastHashJoin" in plan(wide.join(few, "k"))
+    assert wide.join(rows, "k").count() == 300_000

@@ -404,3 +404,21 @@ def test_many_staged_rows_are_not_gathered_on_the_driver(spark):
     assert "BroadcastHashJoin" not in plan(wide.join(rows.filter("v = 0"), "k"))
     assert "BroadcastHashJoin" in plan(wide.join(few, "k"))
     assert wide.join(rows, "k").count() == 300_000
+
+
+def test_islands_join_across_blocks_and_stretches(spark, monkeypatch):
+    monkeypatch.setattr(I, "STRETCH", 4)
+    # A strip of 60 triangles over several blocks, one apart, and two that share a corner with the strip's end.
+    rows = [(i, float(i), 0.0, 0.0, i + 1.0, 0.0, 0.0, i + 0.5, 1.0, 0.0) for i in range(60)]
+    rows += [(60, 0.0, 50.0, 0.0, 1.0, 50.0, 0.0, 0.0, 51.0, 0.0), (61, 60.0, 0.0, 0.0, 61.0, 5.0, 0.0, 62.0, 5.0, 0.0), (62, 60.0001, 0.0, 0.0, 63.0, 9.0, 0.0, 64.0, 9.0, 0.0)]
+    found = I.islands(spark.createDataFrame(rows, TRIANGLES))
+    assert {r["triangle"]: r["island"] for r in found.collect()} == {i: 0 if i != 60 else 60 for i in range(63)}
+    assert "_label" not in found.columns
+
+
+def test_triangles_of_a_stretch_are_joined_by_one_pass():
+    at = np.array([[[i, 0, 0], [i + 1, 0, 0], [i, 1, 0]] for i in (5, 0, 1, 2, 9)], float)
+    at[4, 0] = np.nan
+    label, fresh = I.joined(np.array([7, 3, 4, 5, 1]), at)
+    assert label.tolist() == [7, 3, 3, 3, 1]
+    assert [bin(b).count("1") for b in fresh] == [3, 3, 2, 2, 3]

@@ -422,3 +422,14 @@ def test_triangles_of_a_stretch_are_joined_by_one_pass():
     label, fresh = I.joined(np.array([7, 3, 4, 5, 1]), at)
     assert label.tolist() == [7, 3, 3, 3, 1]
     assert [bin(b).count("1") for b in fresh] == [3, 3, 2, 2, 3]
+
+
+def test_rays_make_a_row_for_each_tile_and_hit_across_tiles(spark):
+    box = V.Box((0.0, 0.0, 0.0), (200, 40, 40), 1.0)
+    rays = spark.createDataFrame([(1, 0.5, 0.5, 0.5, 1.0, 0.0, 0.0), (2, 0.5, 20.5, 0.5, 1.0, 0.0, 0.0), (3, 0.5, 0.5, 39.5, 0.0, 0.0, -1.0)], "ray_id long, x double, y double, z double, dx double, dy double, dz double")
+    cells = {(150, 0, 0), (151, 0, 0), (17, 20, 1), (0, 0, 31), (0, 0, 3)}
+    rows = R.stretches(rays, box, 180.0).collect()
+    assert len(rows) == 12 + 12 + 3 and sum(len(r["codes"]) for r in rows) == 180 + 180 + 39
+    assert {r["ray_id"]: (r["distance"], r["nx"], r["nz"]) for r in R.first_hits(rays, voxels(spark, cells), box, 180.0).collect()} == {1: (149.5, -1, 0), 3: (7.5, 0, 1)}
+    words = {(r["tx"], w["word"]): w["bits"] for r in R.tiles(voxels(spark, {(15, 3, 3), (16, 0, 0), (63, 15, 15)})).collect() for w in r["words"]}
+    assert words == {(0, 12): -(1 << 63), (1, 0): 1, (3, 63): -(1 << 63)}

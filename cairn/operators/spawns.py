@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators import voxels as V
@@ -48,8 +48,11 @@ def places(solid: DataFrame, nav: DataFrame, box: V.Box, radius: float, height:
 def deck_height(solid: DataFrame, nav: DataFrame, box: V.Box) -> float | None:
     """The floor height below most free voxels of an even grid through the box, the lowest of several."""
     stride = max(1, min(box.dims[0], box.dims[2]) // 32)
-    own = free(solid, nav).filter(" and ".join(f"{v} % {stride} = 0" for v in V.AXES))
-    below = own.withColumnRenamed("vy", "own").join(solid.select(*V.AXES), ["vx", "vz"]).filter("vy < own").groupBy("vx", "vz", "own").agg(F.max("vy").alias("vy"))
+    grid = lambda *axes: " and ".join(f"{v} % {stride} = 0" for v in axes)
+    both = solid.select(*V.AXES, F.col("vy").alias("sy")).filter(grid("vx", "vz")).union(nav.select(*V.AXES, F.lit(None).cast("bigint")).filter(grid(*V.AXES)))
+    up_to = Window.partitionBy("vx", "vz").orderBy("vy").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = both.withColumn("low", F.max("sy").over(up_to)).filter("sy is null and low < vy")  # a voxel that is solid itself has low = vy
+    below = rows.groupBy("vx", "vz", F.col("vy").alias("own")).agg(F.max("low").alias("vy"))
     best = below.groupBy(F.floor((F.lit(box.low[1]) + (F.col("vy") + 1) * box.size) / box.size + 0.5).alias("b")).count().orderBy(F.desc("count"), "b").first()
     return None if best is None else best["b"] * box.size
 
@@ -60,10 +63,16 @@ def spawns(seeds: DataFrame, solid: DataFrame, nav: DataFrame, box: V.Box, radiu
     Places on the deck go first, unless the seed is far above or below it. Of equally near places the one in the smallest cube around the
     seed counts, then the lowest, then by z and x."""
     deck = deck_height(solid, nav, box)
-    good = staged(places(solid, nav, box, radius, height), "places")
     reach = math.ceil(search / box.size)
     at = seeds.select("seed_id", "x", "y", "z", *(F.floor((F.col(c) - low) / box.size).cast("bigint").alias(f"s{c}") for c, low in zip("xyz", box.low, strict=True)))
     around = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if (i * i + j * j) * box.size * box.size <= search * search]
+    # Only columns that a seed can choose are judged, from those that a cylinder in them covers.
+    columns = at.select(F.col("sx").alias("vx"), F.col("sz").alias("vz")).distinct()
+    moved = lambda df, pairs: df.select("*", _offsets(pairs, "ij")).select((F.col("vx") + F.col("o.i")).alias("vx"), (F.col("vz") + F.col("o.j")).alias("vz")).distinct()
+    columns, feet = staged(moved(columns, around), "columns"), math.ceil(radius / box.size)
+    beside = staged(moved(columns, [(i, j) for i in range(-feet, feet + 1) for j in range(-feet, feet + 1)]), "columns")
+    solid, nav = (staged(v.select(*V.AXES).join(beside, ["vx", "vz"], "left_semi"), n) for v, n in ((solid, "solid"), (nav, "nav")))
+    good = staged(places(solid, nav, box, radius, height).join(columns, ["vx", "vz"], "left_semi"), "places")
     near = at.select("*", _offsets(around, "ij")).select("*", (F.col("sx") + F.col("o.i")).alias("vx"), (F.col("sz") + F.col("o.j")).alias("vz")).join(good, ["vx", "vz"])
     i, j, k = F.col("o.i"), F.col("vy") - F.col("sy"), F.col("o.j")
     d2 = (i * i + j * j + k * k) * F.lit(box.size) * box.size

@@ -79,9 +79,11 @@ def exterior(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ramps(spark: SparkSession, sf: str) -> DataFrame:
-    """Over the stepped terrain, so that there are ramps at every scale."""
-    solid, nav, _ = terrain(spark, sf)
-    return V.ramps(staged(V.walkable(solid, nav), "treads"), 2)
+    """Over the carved volume, and over the stepped terrain, so that there are ramps at every scale."""
+    solid, nav, _ = _carved(spark, sf)
+    ground, free, _ = terrain(spark, sf)
+    ramp = lambda name, tread, step: V.ramps(staged(tread, "treads"), step).withColumn("over", F.lit(name))
+    return ramp("volume", V.walkable(solid, nav), 1).union(ramp("terrain", V.walkable(ground, free), 2))
 
 
 def mask(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,7 +265,9 @@ SELECT vx, vy, vz, false AS leaked FROM (FROM wide UNION FROM outer_)""",
     "walkable_floors": f"{BOX}, {_NAV}, {_TREAD} SELECT vx, vy, vz, round(y0 + (vy + 1) * 0.5, 6) AS top_y FROM tread, g",
     "shell_faces": f"{BOX}, {_NAV} SELECT * FROM {_FACES} WHERE (ox, oy, oz) IN (FROM nav) AND (ox, oy, oz) NOT IN (FROM solid)",
     "exterior_faces": f"{BOX} SELECT * FROM {_FACES} WHERE (ox, oy, oz) NOT IN (FROM solid)",
-    "floor_ramps": f"WITH {TERRAIN_SQL}, {_TREAD} SELECT t.vx, t.vy, t.vz, o.vx AS ox, o.vy AS oy, o.vz AS oz FROM tread t CROSS JOIN (VALUES (1, 0), (0, 1)) r(i, k) JOIN tread o ON o.vx = t.vx + i AND o.vz = t.vz + k AND abs(t.vy - o.vy) BETWEEN 1 AND 2",
+    "floor_ramps": f"""{BOX}, {_NAV}, {_TREAD}, {TERRAIN_SQL.replace("solid AS", "ground AS").replace("nav AS", "above AS")}, step AS (SELECT * FROM ground WHERE (vx, vy + 1, vz) IN (SELECT vx, vy, vz FROM above))
+SELECT t.vx, t.vy, t.vz, o.vx AS ox, o.vy AS oy, o.vz AS oz, 'volume' AS "over" FROM tread t JOIN tread o ON abs(t.vy - o.vy) = 1 AND ((o.vx = t.vx + 1 AND o.vz = t.vz) OR (o.vx = t.vx AND o.vz = t.vz + 1))
+UNION ALL SELECT t.vx, t.vy, t.vz, o.vx AS ox, o.vy AS oy, o.vz AS oz, 'terrain' FROM step t CROSS JOIN (VALUES (1, 0), (0, 1)) r(i, k) JOIN step o ON o.vx = t.vx + i AND o.vz = t.vz + k AND abs(t.vy - o.vy) BETWEEN 1 AND 2""",
     "solid_mask": f"{BOX} SELECT ((vy * dz + vz) * dx + vx) // 8 AS byte_index, CAST(sum(pow(2, ((vy * dz + vz) * dx + vx) % 8)) AS INTEGER) AS byte FROM solid, g GROUP BY 1",
     "unpacked_mask": f"{BOX} FROM solid",
     "ground_below": f"""{BOX}, q AS (SELECT o_orderkey AS point_id, (o_orderkey % 41) / 4.0 AS x, (o_custkey % 43) / 4.0 AS z FROM orders),

@@ -25,3 +25,9 @@ def test_only_columns_near_seeds_are_judged(spark, monkeypatch):
     free, floor = W.free(solid, nav), W.deck_height(solid, nav, box)
     below = free.withColumnRenamed("vy", "own").join(solid, ["vx", "vz"]).filter("vy < own").groupBy("vx", "vz", "own").agg(F.max("vy").alias("vy"))
     assert floor == (below.groupBy("vy").count().orderBy(F.desc("count"), "vy").first()["vy"] + 1) * 0.25
+
+
+def test_ramps_of_the_volume_and_of_the_terrain(spark):
+    rows = P.ramps(spark, "/root/testdata/sf0.001")
+    assert "over" in rows.columns and rows.filter("over = 'terrain'").count() > 0
+    assert "'volume'" in P.SQL["floor_ramps"] and P.BOX in P.SQL["floor_ramps"]

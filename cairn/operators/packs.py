@@ -49,6 +49,50 @@ def unmasked(files: DataFrame, box: V.Box) -> DataFrame:
     return files.select("name", "bytes").mapInArrow(run, "name string, " + ", ".join(f"{v} bigint" for v in V.AXES))
 
 
+def _mesh(at: np.ndarray, low: np.ndarray, size: float) -> bytes:
+    """A binary mesh of quads, four rows (cy, cz, cx) each."""
+    corner, place = np.unique(at, axis=0, return_inverse=True)
+    four = place.reshape(-1, 4)
+    triangles = np.concatenate((four[:, [0, 1, 2]], four[:, [0, 2, 3]]), axis=1).reshape(-1, 3)
+    return glb((low + corner * size)[:, [2, 0, 1]], triangles)
+
+
+def _quads(volume: np.ndarray, direction: tuple[int, int, int]) -> np.ndarray:
+    """The corners (cy, cz, cx) of faces that voxels of a dense volume (y, z, x) have in a direction, four rows each."""
+    y, z, x = np.nonzero(volume)
+    return np.stack([np.stack((y + j, z + k, x + i), axis=1) for i, j, k in V.corners(direction)], axis=1).reshape(-1, 3)
+
+
+def scene_files(solid: DataFrame, nav: DataFrame, box: V.Box, bias: float = 0.0) -> DataFrame:
+    """solid and nav (name, vx, vy, vz) -> of each name the files that masks() and mesh_files() make: both masks, the mesh of all faces that no solid voxel
+    covers, and that of the tops of solid voxels with walking space on them, its y moved by bias. Empty ones are left out.
+
+    A scene is bounded by the box, so that all is told from its voxels in one task: no face is shuffled."""
+    dx, dy, dz = box.dims
+    place = ((F.col("vy") * dz + F.col("vz")) * dx + F.col("vx")).cast("int").alias("place")
+    both = solid.select("name", F.lit(True).alias("solid"), place).union(nav.select("name", F.lit(False).alias("solid"), place))
+    low = np.array([box.low[1], box.low[2], box.low[0]])
+
+    def run(rows: pa.Table) -> pa.Table:
+        at, own = rows["place"].to_numpy(), rows["solid"].to_numpy().astype(bool)
+        out, full = [], []
+        for path, mine in ((SOLID, own), (NAV, ~own)):
+            bits = np.zeros(-(-dx * dy * dz // 8) * 8, np.uint8)
+            bits[at[mine]] = 1
+            full.append(bits[: dx * dy * dz].reshape(dy, dz, dx) > 0)
+            if mine.any():
+                out.append((path, np.packbits(bits, bitorder="little").tobytes()))
+        wide = np.pad(full[0], 1)
+        faces = [_quads(full[0] & ~wide[1 + j : 1 + j + dy, 1 + k : 1 + k + dz, 1 + i : 1 + i + dx], (i, j, k)) for i, j, k in V.FACES]
+        tops = full[0] & np.pad(full[1], ((0, 1), (0, 0), (0, 0)))[1:]
+        for path, quads, up in ((COLLISION, np.concatenate(faces), 0.0), (FLOORS, _quads(tops, (0, 1, 0)), bias)):
+            if len(quads):
+                out.append((path, _mesh(quads, low + np.array([up, 0.0, 0.0]), box.size)))
+        return pa.table([pa.array([rows["name"][0].as_py()] * len(out), pa.string()), pa.array([p for p, _ in out]), pa.array([b for _, b in out], pa.binary())], schema=FILES)
+
+    return both.groupBy("name").applyInArrow(run, FILES_SQL)
+
+
 def mesh_files(quads: DataFrame, box: V.Box, path: str, bias: float = 0.0) -> DataFrame:
     """quads (name, corners) of meshes.quads() -> of each name a binary mesh with welded vertices, their y moved by bias."""
     low = np.array([box.low[1] + bias, box.low[2], box.low[0]])
@@ -56,11 +100,7 @@ def mesh_files(quads: DataFrame, box: V.Box, path: str, bias: float = 0.0) -> Da
     def run(rows: pa.Table) -> pa.Table:
         flat = rows["corners"].combine_chunks()
         flat = (flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)).flatten()
-        at = np.stack([flat.field(c).to_numpy() for c in ("cy", "cz", "cx")], axis=1)
-        corner, place = np.unique(at, axis=0, return_inverse=True)
-        four = place.reshape(-1, 4)
-        triangles = np.concatenate((four[:, [0, 1, 2]], four[:, [0, 2, 3]]), axis=1).reshape(-1, 3)
-        content = glb((low + corner * box.size)[:, [2, 0, 1]], triangles)
+        content = _mesh(np.stack([flat.field(c).to_numpy() for c in ("cy", "cz", "cx")], axis=1), low, box.size)
         return pa.table([pa.array([rows["name"][0].as_py()]), pa.array([path]), pa.array([content], pa.binary())], schema=FILES)
 
     return quads.select("name", "corners").groupBy("name").applyInArrow(run, FILES_SQL)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cairn.operators import cloud as C
 from cairn.operators import field as D
-from cairn.operators import meshes as M
 from cairn.operators import packs as K
 from cairn.operators import spawns as W
 from cairn.operators import voxels as V
@@ -53,17 +52,9 @@ def nav_packs(spark: SparkSession, sf: str) -> DataFrame:
     solid, nav, _ = T._terrain(spark, sf)
     box = V.Box((0.0, 0.0, 0.0), (TILE, TERRAIN_LEVELS + 4, TERRAIN_DEPTH), T.SIZE)
     named = lambda v: v.select(F.concat(F.lit("tile-"), F.floor(F.col("vx") / TILE)).alias("name"), (F.col("vx") % TILE).alias("vx"), "vy", "vz")
-    solid, nav = staged(named(solid), "solid"), staged(named(nav), "nav")
-    scenes = solid.groupBy("name").agg(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("seed"), F.lit(None).cast("array<double>").alias("spawn"))
-    each = None
-    for n in V.FACES:  # faces of each scene by itself
-        other = solid.select("name", *((F.col(v) - d).alias(v) for v, d in zip(V.AXES, n, strict=True)))
-        own = solid.join(other, ["name", *V.AXES], "left_anti").select("name", *V.AXES, *(F.lit(d).cast("bigint").alias(c) for c, d in zip(("nx", "ny", "nz"), n, strict=True)))
-        each = own if each is None else each.union(own)
-    outside = M.quads(each, "name")
-    tops = solid.join(nav.select("name", "vx", (F.col("vy") - 1).alias("vy"), "vz"), ["name", *V.AXES], "left_semi")
-    floors = M.treads(tops, "name")
-    files = K.sessions(scenes, box).union(K.masks(solid, box, K.SOLID)).union(K.masks(nav, box, K.NAV)).union(K.mesh_files(outside, box, K.COLLISION)).union(K.mesh_files(floors, box, K.FLOORS, -T.SIZE))
+    solid, nav = named(solid), named(nav)
+    scenes = solid.select("name").distinct().select("name", F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("seed"), F.lit(None).cast("array<double>").alias("spawn"))
+    files = K.sessions(scenes, box).union(K.scene_files(solid, nav, box, -T.SIZE))
     packs = staged(K.zipped(files), "packs")
     back = staged(A.members(packs).select("name", "path", "bytes"), "members")
     counts = K.mesh_counts(back.filter(F.col("path").endswith(".glb")))

@@ -12,6 +12,24 @@ VOXELS = "vx long, vy long, vz long"
 BOX = V.Box((0.0, 0.0, 0.0), (6, 5, 4), 0.25)
 
 
+def test_files_of_scenes_come_from_one_pass(spark):
+    solid = [("a", x, y, z) for x in range(6) for z in range(4) for y in range((x * 7 + z * 3) % 4)] + [("b", 0, 0, 0), ("b", 5, 4, 3)]
+    nav = [("a", 0, 3, 0), ("a", 1, 3, 0), ("a", 1, 4, 2), ("b", 0, 1, 0)]
+    solid, nav = (spark.createDataFrame(rows, f"name string, {VOXELS}") for rows in (solid, nav))
+    one = K.scene_files(solid, nav, BOX, -0.25)
+    bare = lambda df, path: {r["name"]: bytes(r["bytes"]) for r in df.filter(F.col("path") == path).collect()}
+    assert bare(one, K.SOLID) == bare(K.masks(solid, BOX, K.SOLID), K.SOLID) and bare(one, K.NAV) == bare(K.masks(nav, BOX, K.NAV), K.NAV)
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    faces = None
+    for name in "ab":
+        own = V.exterior_faces(solid.filter(F.col("name") == name).select(*V.AXES)).withColumn("name", F.lit(name))
+        faces = own if faces is None else faces.unionByName(own)
+    tops = solid.join(nav.select("name", "vx", (F.col("vy") - 1).alias("vy"), "vz"), ["name", *V.AXES], "left_semi")
+    for path, quads in ((K.COLLISION, M.quads(faces, "name")), (K.FLOORS, M.treads(tops, "name"))):
+        counts = lambda df: sorted(tuple(r) for r in K.mesh_counts(df.filter(F.col("path") == path)).collect())  # noqa: B023, E731
+        assert counts(one) == counts(K.mesh_files(quads, BOX, path)) != []
+
+
 def test_only_columns_near_seeds_are_judged(spark, monkeypatch):
     box = V.Box((0.0, 0.0, 0.0), (400, 8, 12), 0.25)
     solid = spark.createDataFrame([(x, y, z) for x in range(400) for z in range(12) for y in range(1 + x % 2)], VOXELS)

@@ -8,6 +8,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 from cairn.llm import langid, lm, toxicity
 from cairn.llm.common import id_bucket
@@ -199,3 +201,23 @@ def test_equal_rows_are_dealt_to_several_groups(spark):
     rows = spark.range(0, 24, 1, 1).selectExpr("7L doc_id", "cast(repeat('word ', 200000) as binary) text", "true train")
     groups = rows.mapInArrow(lm._group(1), lm.FIELDS).filter("range = -1").groupBy("part").count().collect()
     assert sum(r["count"] for r in groups) == 24 and len(groups) > 3
+
+
+def test_every_group_teaches_the_start_of_the_mixer(spark):
+    texts = [prose(i, 60) for i in range(60)]
+    docs = documents(spark, list(enumerate(texts))).select("doc_id", F.col("text").cast("binary").alias("text"), (F.col("doc_id") % 10 != 0).alias("train"))
+    grouped = lm.staged(docs.repartition(12, "doc_id").mapInArrow(lm._group(1), lm.FIELDS), "groups")
+    answers = lm.staged(grouped.filter("range >= 0").select("part", "range", "codes", "counts").groupBy("range").applyInArrow(lm._answer, lm._ANSWERS), "answers")
+    model = lm.fit(grouped, answers)
+    rows, told = grouped.filter("range = -1").select("part", "text", "train").toArrow(), answers.select("part", "range", "sizes", "symbols", "counts").toArrow()
+    s, _ = lm.symbols(*lm._joined([np.frombuffer(t.encode(), np.uint8) for i, t in enumerate(texts) if i % 10]))
+    counts = np.bincount(s, minlength=256)
+    counts[lm.END] = sum(i % 10 != 0 for i in range(60))
+    run, parts = lm._teach(counts), sorted(set(rows["part"].to_pylist()))
+    learned = [run((p,), *(t.filter(pc.equal(t["part"], p)) for t in (rows, told))).to_pylist() for p in parts]
+    learned = [x for own in learned for x in own]
+    assert len(learned) > 8
+    n = sum(x["symbols"] for x in learned)
+    for name in ("weights", "bias"):
+        mean = sum(x["symbols"] / n * np.frombuffer(x[name], np.float32).astype(float) for x in learned)
+        assert np.allclose(getattr(model, name).reshape(-1), mean, atol=1e-6)

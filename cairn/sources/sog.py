@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.codec import nearest
-from cairn.sources.tables import with_ordinal
+from cairn.sources.tables import staged, with_ordinal
 
 #: Fixed values of the format: its version, entries of a codebook, the widest plane, palette columns, and the tag of quaternions.
 VERSION, ENTRIES, WIDEST, PALETTE_COLUMNS, QUATERNION = 2, 256, 8192, 64, 252
@@ -48,8 +48,14 @@ def book_of(values: np.ndarray) -> np.ndarray:
     if not len(v):
         return np.zeros(ENTRIES)
     start = np.arange(ENTRIES) * len(v) // ENTRIES
-    end = np.minimum(np.maximum((np.arange(ENTRIES) + 1) * len(v) // ENTRIES, start + 1), len(v))
-    return np.maximum.accumulate([v[a:b].mean() for a, b in zip(start, end, strict=True)])
+    many = np.maximum(np.diff(start, append=len(v)), 1)  # runs that would be empty are of the value at their start
+    if many.max() >= 8:
+        return np.maximum.accumulate([v[a : a + n].mean() for a, n in zip(start, many, strict=True)])
+    total = v[start]  # short runs side by side, each added up in its order as mean() does
+    for j in range(1, many.max()):
+        more = np.flatnonzero(many > j)
+        total[more] += v[start[more] + j]
+    return np.maximum.accumulate(total / many)
 
 
 def places(book: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -197,4 +203,5 @@ def decoded(files: DataFrame) -> DataFrame:
 def index(files: DataFrame) -> DataFrame:
     """file (a dense number, level by level), path, level, chunk, rows of each chunk's description: what a bundle's manifest lists."""
     own = files.filter(F.col("path").endswith("/meta.json")).select("path", "level", "chunk", "rows")
+    own = staged(own, "descriptions")  # a range sort reads its input twice, and would have all chunks encoded again
     return with_ordinal(own, ["level", "chunk"], "file")

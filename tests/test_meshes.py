@@ -433,3 +433,23 @@ def test_rays_make_a_row_for_each_tile_and_hit_across_tiles(spark):
     assert {r["ray_id"]: (r["distance"], r["nx"], r["nz"]) for r in R.first_hits(rays, voxels(spark, cells), box, 180.0).collect()} == {1: (149.5, -1, 0), 3: (7.5, 0, 1)}
     words = {(r["tx"], w["word"]): w["bits"] for r in R.tiles(voxels(spark, {(15, 3, 3), (16, 0, 0), (63, 15, 15)})).collect() for w in r["words"]}
     assert words == {(0, 12): -(1 << 63), (1, 0): 1, (3, 63): -(1 << 63)}
+
+
+@pytest.mark.parametrize("n", [1, 5, 255, 256, 257, 750, 1500, 1791, 1792, 6000])
+def test_books_are_the_means_of_runs_to_the_bit(n):
+    v = np.random.default_rng(n).normal(size=n)
+    start = np.arange(256) * n // 256
+    end = np.maximum((np.arange(256) + 1) * n // 256, start + 1)
+    assert (sog.book_of(v) == np.maximum.accumulate([np.sort(v)[a:b].mean() for a, b in zip(start, end, strict=True)])).all()
+
+
+def test_chunks_are_encoded_once_for_their_index(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    files = spark.range(8).selectExpr("CAST(id % 2 AS INT) AS level", "id AS chunk", "concat(id, '/meta.json') AS path", "id AS rows").mapInArrow(made, "level int, chunk bigint, path string, rows bigint")
+    assert sog.index(files).count() == 8 and seen.value == 8

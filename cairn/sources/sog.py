@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -167,20 +168,42 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key, which stand behind each other."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch[c].to_numpy() for c in keys]).astype(np.int64)
+        cut = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = k[:, a].tolist()
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def encoded(splats: DataFrame, degree: int = 0, clusters: int = 4096, rounds: int = 10) -> DataFrame:
     """Splats (level, chunk, place, x, y, z, scale, rot, opacity, f_dc, f_rest) -> the files (level, chunk, path, rows, bytes) of each chunk, its splats in
     the order of place. opacity is a logit; arrays are of 3, 4, 3 and 0, 9, 24 or 45 values. A chunk's rows must fit a task."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("place")
+    def files_of(rows: pa.Table) -> pa.RecordBatch:
         n = len(rows)
         level, chunk = rows["level"][0].as_py(), rows["chunk"][0].as_py()
         xyz = np.stack([rows[c].to_numpy() for c in "xyz"], axis=1).astype(np.float64)
         files = encoded_chunk(xyz, *(_matrix(rows[c], n) for c in ("scale", "rot")), rows["opacity"].to_numpy().astype(np.float64), _matrix(rows["f_dc"], n), _matrix(rows["f_rest"], n), degree, clusters, rounds)
-        return pa.table([pa.array([level] * len(files)), pa.array([chunk] * len(files)), [f"{level}_{chunk}/{f}" for f in files], [n] * len(files), list(files.values())], schema=FILES)
+        return pa.record_batch([pa.array([level] * len(files), pa.int32()), pa.array([chunk] * len(files)), [f"{level}_{chunk}/{f}" for f in files], pa.array([n] * len(files)), pa.array(list(files.values()), pa.binary())], schema=FILES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ("level", "chunk")):
+            yield files_of(rows)
 
     own = splats.select(F.col("level").cast("int").alias("level"), F.col("chunk").cast("bigint").alias("chunk"), "place", *"xyz", "scale", "rot", "opacity", "f_dc", "f_rest")
-    return own.groupBy("level", "chunk").applyInArrow(run, FILES_SQL)
+    return own.repartition("level", "chunk").sortWithinPartitions("level", "chunk", "place").mapInArrow(run, FILES_SQL)  # a group for each chunk would cost more than its encoding
 
 
 def decoded(files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -453,3 +454,10 @@ def test_chunks_are_encoded_once_for_their_index(spark):
 
     files = spark.range(8).selectExpr("CAST(id % 2 AS INT) AS level", "id AS chunk", "concat(id, '/meta.json') AS path", "id AS rows").mapInArrow(made, "level int, chunk bigint, path string, rows bigint")
     assert sog.index(files).count() == 8 and seen.value == 8
+
+
+def test_runs_of_keys_go_on_over_batches():
+    part = lambda *rows: pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["level", "chunk", "place"])
+    batches = [part((0, 1, 5), (0, 1, 6)), part((0, 1, 7)).slice(0, 0), part((0, 1, 7), (0, 2, 0), (1, 2, 1)), part((1, 2, 2))]
+    assert [t["place"].to_pylist() for t in sog.runs(iter(batches), ("level", "chunk"))] == [[5, 6, 7], [0], [1, 2]]
+    assert not list(sog.runs(iter([]), ("level", "chunk")))

@@ -36,11 +36,13 @@ def chunks_of_regions(regions: DataFrame, tree: DataFrame) -> DataFrame:
     """regions (region_id, min_x .. max_z) and lod_tree() -> region_id, chunk of the chunks whose boxes overlap.
 
     All regions go down the tree together, a join on node numbers for each depth; a region goes on only below boxes that it overlaps."""
-    node = tree.select("node_id", "chunks", "first", *SIDES)
+    node = tree.select("node_id", "depth", "chunks", "first", *SIDES)
     at = regions.select("region_id", *(F.col(c).alias(f"of_{c}") for c in SIDES)).withColumn("node_id", F.lit(1).cast("bigint"))
-    found = None
+    found, depth = None, -1
     while True:
-        here = staged(at.join(node, "node_id").filter(overlaps("of_", "")).select("region_id", "node_id", "chunks", "first", *(f"of_{c}" for c in SIDES)), "descent")
+        depth += 1
+        # A depth's own nodes only: the whole tree would be gathered for each.
+        here = staged(at.join(node.filter(F.col("depth") == depth), "node_id").filter(overlaps("of_", "")).select("region_id", "node_id", "chunks", "first", *(f"of_{c}" for c in SIDES)), "descent")
         leaves = here.filter("chunks = 1").select("region_id", F.col("first").alias("chunk"))
         found = leaves if found is None else found.union(leaves)
         inner = here.filter("chunks > 1")

@@ -461,3 +461,13 @@ def test_runs_of_keys_go_on_over_batches():
     batches = [part((0, 1, 5), (0, 1, 6)), part((0, 1, 7)).slice(0, 0), part((0, 1, 7), (0, 2, 0), (1, 2, 1)), part((1, 2, 2))]
     assert [t["place"].to_pylist() for t in sog.runs(iter(batches), ("level", "chunk"))] == [[5, 6, 7], [0], [1, 2]]
     assert not list(sog.runs(iter([]), ("level", "chunk")))
+
+
+def test_regions_meet_one_depth_of_the_tree_at_a_time(spark, monkeypatch):
+    boxes = ", ".join(f"{n}_{c} double" for n in ("min", "max") for c in "xyz")
+    tree = spark.createDataFrame([(1, 0, 2, 0, *[0.0] * 3, *[2.0] * 3), (2, 1, 1, 0, *[0.0] * 3, *[1.0] * 3), (3, 1, 1, 1, *[1.5] * 3, *[2.0] * 3)], f"node_id long, depth int, chunks long, first long, {boxes}")
+    regions = spark.createDataFrame([(7, *[0.5] * 3, *[1.6] * 3), (8, *[0.1] * 3, *[0.2] * 3)], f"region_id long, {boxes}")
+    plans = []
+    monkeypatch.setattr(B, "staged", lambda df, what: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or staged(df, what))
+    assert sorted(map(tuple, B.chunks_of_regions(regions, staged(tree, "tree")).collect())) == [(7, 0), (7, 1), (8, 0)]
+    assert len(plans) == 2 and all(f"= {depth})" in plan and "depth" in plan for depth, plan in enumerate(plans))

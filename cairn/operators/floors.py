@@ -8,12 +8,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cairn.operators.cloud import nearest_rank
 from cairn.operators.components import cell_components
-from cairn.operators.field import Field, FieldSettings, Grid, around, build
+from cairn.operators.field import Field, FieldSettings, Grid, build
+from cairn.operators.tiles import SIDES, Window, by_tiles, moved, small_parts
 from cairn.sources.tables import staged, with_ordinal
 
 CELL = ("row", "col")
@@ -48,55 +51,89 @@ def accepted(relaxed: bool = False) -> Column:
     return F.coalesce(ok | (F.col("height").isNotNull() & doubt), F.lit(False))
 
 
-def _inside(g: Grid) -> Column:
-    return F.col("row").between(0, g.height - 1) & F.col("col").between(0, g.width - 1)
+#: Bits of what a cell is to the steps that close a mask: floor, no hole (a hole's wall), kept as it is.
+FLOOR, WALL, STAYS = 1, 2, 4
+
+
+def _kinds(cells: DataFrame, floor: Column, height: Column) -> DataFrame:
+    """row, col, height and the bits of cells; cells without a row, or of no state, are holes."""
+    bit = lambda c, b: F.when(F.coalesce(c, F.lit(False)), b).otherwise(0)
+    kind = bit(floor, FLOOR) + bit(~floor & ~F.col("state").isin("void", "low_confidence"), WALL) + bit(F.col("state").isin("obstacle", "height_variance"), STAYS)
+    return cells.select(*CELL, height.cast("double").alias("height"), kind.cast("int").alias("kind"))
+
+
+def _with_mask(mask: DataFrame, cells: DataFrame, height: Column) -> DataFrame:
+    return _kinds(cells, F.lit(False), F.lit(None)).union(mask.select(*CELL, height.cast("double"), F.lit(FLOOR)))
+
+
+def _closed(rows: DataFrame, g: Grid, most: int, gap: int, tolerance: float) -> DataFrame:
+    """Of rows as _kinds() gives them, and of cells without a row: row, col, source (mask, bridged or closed), height (the cell's own) and middle
+    (of its seam). See gaps() and seams(), of which each is left out at 0.
+
+    A tile's rim holds all holes of `most` cells that begin in it, and the cells that these and their seams depend on."""
+    schema = {c: rows.schema[c].dataType for c in CELL}
+
+    def work(w: Window) -> pa.Table:
+        kind, own = w.rows["kind"].to_numpy(), w.rows["height"]
+        has = lambda bit: w.spread(np.ones(len(kind), bool), False, kind & bit > 0)
+        row, col = (np.arange(n)[:, None] + low if i == 0 else np.arange(n)[None, :] + low for i, (n, low) in enumerate(zip(w.shape, w.low, strict=True)))
+        inside = (row >= 0) & (row < g.height) & (col >= 0) & (col < g.width)
+        mask, known = has(FLOOR), own.is_valid().to_numpy()
+        height = w.spread(own.fill_null(np.nan).to_numpy(), np.nan, known)
+        known = w.spread(np.ones(len(kind), bool), False, known)
+        stays = has(STAYS) | mask
+        source = np.where(mask, 0, -1)
+        if most:
+            wall = has(WALL) & ~mask
+            part = small_parts(inside & ~mask & ~wall, most)
+            out = (row <= 0) | (row >= g.height - 1) | (col <= 0) | (col >= g.width - 1)
+            out[[0, -1]], out[:, [0, -1]] = True, True  # outside of the box is no floor
+            for side in SIDES:
+                out |= moved(wall & inside, *side, False)
+            bad = np.unique(part[out])
+            source[(part > 0) & ~np.isin(part, bad)] = 1
+            mask = source >= 0
+        low, high, sides = np.full(w.shape, np.inf), np.full(w.shape, -np.inf), np.zeros(w.shape, int)
+        for i, j in SIDES if gap else ():
+            met, found, h = np.zeros(w.shape, bool), np.zeros(w.shape, bool), np.full(w.shape, np.nan)
+            for n in range(1, gap + 1):  # the nearest, whether its height is known or not
+                new = moved(mask, n * i, n * j, False) & ~met
+                h[new], found[new] = moved(height, n * i, n * j, np.nan)[new], moved(known, n * i, n * j, False)[new]
+                met |= new
+            low, high = np.where(found, np.minimum(low, h), low), np.where(found, np.maximum(high, h), high)
+            sides += found
+        two = sides >= 2
+        low, high = np.where(two, low, 0.0), np.where(two, high, 0.0)
+        source[two & (high - low <= tolerance) & ~mask & ~stays & inside] = 2
+        at = np.nonzero(source >= 0)
+        r, c = at[0] + w.low[0], at[1] + w.low[1]
+        keep = w.own(r, c)
+        at, r, c = tuple(a[keep] for a in at), r[keep], c[keep]
+        name = pa.array(np.array(["mask", "bridged", "closed"])[source[at]], pa.string())
+        closed = source[at] == 2
+        return pa.table({"row": r, "col": c, "source": name, "height": pa.array(height[at], mask=~known[at]), "middle": pa.array(((low + high) / 2)[at], mask=~closed)})
+
+    found = by_tiles(rows, (most + 1 if most else 0) + gap, work, "row bigint, col bigint, source string, height double, middle double")
+    return found.select(*(F.col(c).cast(t).alias(c) for c, t in schema.items()), "source", "height", "middle")
 
 
 def gaps(mask: DataFrame, cells: DataFrame, g: Grid, most: int = 12) -> DataFrame:
     """row, col of the holes in the mask of `most` cells at most that are void or of low confidence, touch neither the border nor a cell of
-    another state, and so are closed in by floor.
-
-    Only cells so near to the mask that a hole of that size can hold them are looked at; one further in marks its hole as too large."""
-    reach = 1
-    while 2 * reach * (reach - 1) + 1 <= most:  # cells of a diamond around a cell so far inside
-        reach += 1
-    own = mask.select(*CELL)
-    far = F.abs(F.col("o.i")) + F.abs(F.col("o.j"))
-    rim = around(own, reach).filter(_inside(g) & (far <= reach)).groupBy(*CELL).agg(F.min(far).alias("far")).filter("far > 0")
-    state = rim.join(cells.select(*CELL, "state"), list(CELL), "left").withColumn("open", F.coalesce(F.col("state").isin("void", "low_confidence"), F.lit(True)))
-    state = staged(state.select(*CELL, "far", "open"), "rim")
-    hole = staged(cell_components(state.filter("open").select(*CELL, "far"), CELL), "holes")
-    edge = (F.col("far") == reach) | (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == g.height - 1) | (F.col("col") == g.width - 1)
-    small = hole.groupBy("component").agg(F.count("*").alias("cells"), F.max(edge).alias("edge")).filter((F.col("cells") <= most) & ~F.col("edge"))
-    walls = around(state.filter("not open").select(*CELL), 1, corners=False, itself=False).select(*CELL).distinct()
-    walled = hole.join(walls, list(CELL), "left_semi").select("component").distinct()
-    return hole.join(small.join(walled, "component", "left_anti").select("component"), "component", "left_semi").select(*CELL)
+    another state, and so are closed in by floor."""
+    return _closed(_with_mask(mask, cells, F.lit(None)), g, most, 0, 0.0).filter("source = 'bridged'").select(*CELL)
 
 
 def seams(mask: DataFrame, cells: DataFrame, g: Grid, gap: int, tolerance: float) -> DataFrame:
     """row, col, height of cells off the mask with floor within `gap` cells on two of four sides or more, whose heights differ by the
-    tolerance at most: the middle between the least and the greatest. Obstacles and ledges stay as they are.
-
-    Floor cells offer themselves to the cells beside them; the nearest on each side is a grouped minimum."""
-    steps = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.lit(n).alias("step"), F.lit(n * i).alias("i"), F.lit(n * j).alias("j")) for side, (i, j) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1))) for n in range(1, gap + 1)))).alias("o")
-    offered = mask.select("row", "col", "height", steps).select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), "height", "o.side", "o.step").filter(_inside(g))
-    sides = offered.groupBy(*CELL).agg(*(F.min(F.when(F.col("side") == s, F.struct("step", "height"))).alias(f"side_{s}") for s in range(4)))
-    heights = F.filter(F.array(*(F.col(f"side_{s}.height") for s in range(4))), lambda h: h.isNotNull())
-    low, high = F.array_min("heights"), F.array_max("heights")
-    near = sides.select(*CELL, heights.alias("heights")).filter((F.size("heights") >= 2) & (high - low <= tolerance)).select(*CELL, ((low + high) / 2).alias("height"))
-    off = near.join(mask.select(*CELL), list(CELL), "left_anti")
-    return off.join(cells.filter(F.col("state").isin("obstacle", "height_variance")).select(*CELL), list(CELL), "left_anti")
+    tolerance at most: the middle between the least and the greatest. Obstacles and ledges stay as they are."""
+    found = _closed(_with_mask(mask, cells, F.col("height")), g, 0, gap, tolerance).filter("source = 'closed'")
+    return found.select(*CELL, F.col("middle").alias("height"))
 
 
 def closed_mask(cells: DataFrame, g: Grid, s: FloorSettings, cell: float, relaxed: bool = False) -> DataFrame:
-    """row, col, height, source (mask, bridged or closed) of the floor's cells; a cell's own height goes before that of its seam."""
-    own = cells.filter(accepted(relaxed)).select(*CELL)
-    holes = gaps(own, cells, g, s.bridge)
-    heights = cells.select(*CELL, "height")
-    mask = staged(own.withColumn("source", F.lit("mask")).union(holes.withColumn("source", F.lit("bridged"))).join(heights, list(CELL), "left"), "mask")
-    more = seams(mask, cells, g, max(1, math.floor(s.gap / cell + 0.5)), s.seam_tolerance)
-    more = more.withColumnRenamed("height", "middle").join(heights, list(CELL), "left").select(*CELL, F.lit("closed").alias("source"), F.coalesce("height", "middle").alias("height"))
-    return mask.unionByName(more)
+    """row, col, source (mask, bridged or closed), height of the floor's cells; a cell's own height goes before that of its seam."""
+    found = _closed(_kinds(cells, accepted(relaxed), F.col("height")), g, s.bridge, max(1, math.floor(s.gap / cell + 0.5)), s.seam_tolerance)
+    return found.select(*CELL, "source", F.coalesce("height", "middle").alias("height"))
 
 
 def with_parts(mask: DataFrame) -> DataFrame:
@@ -145,10 +182,20 @@ def same_level(floor: DataFrame, found: DataFrame, height: float | None, s: Floo
 
 def levelled(floor: DataFrame, radius: int = 3) -> DataFrame:
     """floor (row, col, height) with level: the upper median of the floor's heights in the square around; 49 at most."""
-    own = floor.select(*CELL, "height")
-    near = around(own.filter("height is not null"), radius).select(*CELL, F.col("n.height").alias("h")).join(own.select(*CELL), list(CELL), "left_semi")
-    middle = near.groupBy(*CELL).agg(F.sort_array(F.collect_list("h")).alias("hs")).select(*CELL, F.get("hs", F.floor(F.size("hs") / 2).cast("int")).alias("level"))
-    return floor.join(middle, list(CELL), "left")
+
+    columns = floor.columns
+
+    def work(w: Window) -> pa.Table:
+        known = w.rows["height"].is_valid().to_numpy()
+        height = np.pad(w.spread(w.rows["height"].fill_null(np.nan).to_numpy().astype(float), np.nan, known), radius, constant_values=np.nan)
+        mine = np.flatnonzero(w.own(w.row, w.col))
+        r, c = (a[mine] for a in w.at)
+        near = np.sort(np.stack([height[r + i, c + j] for i in range(2 * radius + 1) for j in range(2 * radius + 1)], axis=1), axis=1)
+        many = (~np.isnan(near)).sum(axis=1)
+        level = near[np.arange(len(mine)), np.minimum(many // 2, near.shape[1] - 1)]
+        return w.rows.take(pa.array(mine)).select(columns).append_column("level", pa.array(level, mask=many == 0))
+
+    return by_tiles(floor, radius, work, floor.withColumn("level", F.lit(None).cast("double")).schema)
 
 
 def corners(floor: DataFrame, plane: float | None, flatten: float) -> DataFrame:

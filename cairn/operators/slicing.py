@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,9 +51,8 @@ def chunked(ordered: DataFrame, target: int, extent: float = 0.0) -> DataFrame:
         out = np.append(after, n)  # of each row where the first chunk at or behind the block's end starts that follows from it
         inside = int(np.searchsorted(place, end))
         first = int(place[0])
-        for i in range(inside - 1, -1, -1):
-            if after[i] < end and after[i] < n:
-                out[i] = out[after[i] - first]
+        while len(short := np.flatnonzero((out < end) & (out < n))):  # a chunk further each time, of the few that a block holds
+            out[short] = after[out[short] - first]
         many = 1 if k == 0 else min(target, inside)
         return pa.table([pa.array(np.full(many, k)), pa.array(place[:many]), pa.array(out[:many])], schema=PASSES)
 
@@ -102,25 +100,22 @@ def _block(part: pa.Table, target: int, extent: float, least: int, n: int) -> tu
 
 
 def _passed(values: np.ndarray, extent: float) -> np.ndarray:
-    """Of each place the first one behind it with which the values between span more than the extent; beyond the end if there is none."""
-    out = np.full(len(values), 1 << 60, np.int64)
-    low, high, at = deque(), deque(), 0
-    v = values.tolist()
-    for r, x in enumerate(v):
-        while low and v[low[-1]] >= x:
-            low.pop()
-        low.append(r)
-        while high and v[high[-1]] <= x:
-            high.pop()
-        high.append(r)
-        while v[high[0]] - v[low[0]] > extent:
-            out[at] = r
-            at += 1
-            if low[0] < at:
-                low.popleft()
-            if high[0] < at:
-                high.popleft()
-    return out
+    """Of each place the first one behind it with which the values between span more than the extent; beyond the end if there is none.
+
+    Least and greatest values of runs of 1, 2, 4... places are at hand; each place takes in the longest run that still fits, then shorter ones."""
+    n = len(values)
+    runs = [(values, values)]
+    while 2 << (len(runs) - 1) <= n:
+        half = 1 << (len(runs) - 1)
+        low, high = runs[-1]
+        runs.append((np.minimum(low[:-half], low[half:]), np.maximum(high[:-half], high[half:])))
+    at, low, high = np.arange(n), np.full(n, np.inf), np.full(n, -np.inf)
+    for k in range(len(runs) - 1, -1, -1):
+        run = np.minimum(at, len(runs[k][0]) - 1)
+        wide_low, wide_high = np.minimum(low, runs[k][0][run]), np.maximum(high, runs[k][1][run])
+        fits = (at < len(runs[k][0])) & ~(wide_high - wide_low > extent)
+        at, low, high = at + (fits << k), np.where(fits, wide_low, low), np.where(fits, wide_high, high)
+    return np.where(at < n, at, 1 << 60)
 
 
 def levels(chunks: DataFrame, count: int) -> DataFrame:

@@ -119,7 +119,9 @@ def _passed(values: np.ndarray, extent: float) -> np.ndarray:
 
 
 def levels(chunks: DataFrame, count: int) -> DataFrame:
-    """A row for each splat and level that has it: level l keeps every 2**l-th row of a chunk."""
+    """A row for each splat and level that has it: level l keeps every 2**l-th row of a chunk, so that level 0 is the chunk itself."""
+    if count == 1:
+        return chunks.withColumn("level", F.lit(0))
     first = chunks.groupBy("chunk").agg(F.min("place").alias("first"))
     rows = chunks.join(first, "chunk").withColumn("i", F.col("place") - F.col("first"))
     return rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).filter(F.expr("i % shiftleft(1, level)") == 0).drop("first", "i")

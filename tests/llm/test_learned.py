@@ -221,3 +221,45 @@ def test_every_group_teaches_the_start_of_the_mixer(spark):
     for name in ("weights", "bias"):
         mean = sum(x["symbols"] / n * np.frombuffer(x[name], np.float32).astype(float) for x in learned)
         assert np.allclose(getattr(model, name).reshape(-1), mean, atol=1e-6)
+
+
+def test_codes_of_one_context_hand_it_on_once():
+    x = np.unique(np.concatenate(lm.codes(*lm.symbols(np.frombuffer(prose(1, 500).encode(), np.uint8), np.array([0, len(prose(1, 500).encode())])))))
+    assert (lm.unplaned(lm.planes(x)) == x).all() and len(lm.unplaned(lm.planes(x[:0]))) == 0
+    assert len(lm.planes(x)) < 8 * len(x)
+
+
+def test_the_mixer_learns_from_each_symbol_as_often_as_it_occurs():
+    text = np.frombuffer(prose(5, 300).encode(), np.uint8)
+    learned = []
+    for times in (1, 3):
+        s, at = lm.symbols(np.tile(text, times), np.arange(times + 1) * len(text))
+        kinds = lm.codes(s, at)
+        model = lm.Model(np.bincount(s[: len(text) + 1], minlength=256))
+        model.curvature *= times
+        counts = lm.Counts(*lm.tally(np.concatenate(lm.codes(s[: len(text) + 1], at[:2]))))
+        plain = model.mixed(s, at, kinds, counts, learn=True)
+        assert np.allclose(plain, plain[0])
+        learned.append((model.weights, model.bias))
+    for one, three in zip(*learned, strict=True):
+        assert np.allclose(one, three, atol=1e-4)
+
+
+def test_what_no_later_job_reads_is_not_kept(spark, monkeypatch):
+    kept, name = {}, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(name), []
+
+    def staged(df, what, **options):
+        seen.append(spark.conf.get(name))
+        kept[what] = plain(df, what, **options)
+        return kept[what]
+
+    plain = lm.staged
+    monkeypatch.setattr(lm, "staged", staged)
+    rows = lm.score(documents(spark, [(i, prose(i, 40)) for i in range(20)]), id_bucket("doc_id", 10) == 0)
+    there = {}
+    for what, df in kept.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        there[what] = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert there == {"groups": False, "answers": True, "texts": True}
+    assert set(seen) == {"true"} and spark.conf.get(name) == before and rows.count() == 20

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators import bits as N
 from cairn.operators import cloud as C
 from cairn.operators import field as D
 from cairn.operators import packs as K
@@ -16,7 +17,7 @@ from cairn.plans import meshes as T
 from cairn.plans import volumes as P
 from cairn.plans.scalars import r6, sql6
 from cairn.sources import splats as A
-from cairn.sources.tables import CLOUD_SQL, TERRAIN_DEPTH, TERRAIN_LEVELS, TERRAIN_SQL, cloud, staged, table
+from cairn.sources.tables import CLOUD_SQL, TERRAIN_DEPTH, TERRAIN_LEVELS, TERRAIN_SQL, cloud, staged, table, terrain_columns
 
 RADIUS, HEIGHT = 0.3, 0.6
 #: Voxels along x of a scene of the packs.
@@ -49,19 +50,22 @@ def collision_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 def nav_packs(spark: SparkSession, sf: str) -> DataFrame:
     """A pack for each stretch of the terrain, zipped, read again, and counted."""
-    solid, nav, _ = T._terrain(spark, sf)
+    columns, _ = terrain_columns(spark, sf)
     box = V.Box((0.0, 0.0, 0.0), (TILE, TERRAIN_LEVELS + 4, TERRAIN_DEPTH), T.SIZE)
-    named = lambda v: v.select(F.concat(F.lit("tile-"), F.floor(F.col("vx") / TILE)).alias("name"), (F.col("vx") % TILE).alias("vx"), "vy", "vz")
-    solid, nav = named(solid), named(nav)
+    top = F.col("top")
+    rows = staged(N.of_columns(columns, solid=(F.lit(0), top), nav=(top + 1, top + 3)), "rows")  # a row of bits is as long as a stretch
+    named = lambda bits: rows.filter(F.col(bits) != 0).select(F.concat(F.lit("tile-"), F.col("bx")).alias("name"), F.lit(0).cast("bigint").alias("vx"), "vy", "vz", F.col(bits).alias("bits"))
+    solid, nav = named("solid"), named("nav")
     scenes = solid.select("name").distinct().select("name", F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("seed"), F.lit(None).cast("array<double>").alias("spawn"))
-    files = K.sessions(scenes, box).union(K.scene_files(solid, nav, box, -T.SIZE))
-    packs = staged(K.zipped(files), "packs")
-    back = staged(A.members(packs).select("name", "path", "bytes"), "members")
-    counts = K.mesh_counts(back.filter(F.col("path").endswith(".glb")))
-    mesh = counts.groupBy("name").agg(*(F.max(F.when(F.col("path") == p, F.col(c))).alias(f"{n}_{c}") for n, p in (("collision", K.COLLISION), ("floors", K.FLOORS)) for c in ("vertices", "triangles")))
-    voxels = lambda path, name: K.unmasked(back.filter(F.col("path") == path), box).groupBy("name").agg(F.count("*").alias(name), F.sum(F.col("vy") * 7 + F.col("vx") * 3 + F.col("vz")).alias(f"{name}_sum"))
-    found = K.parsed(packs).select("name", "files", "version", "mode", F.array_join("dims", "x").alias("dims"), "voxel_size", "has_volume", "has_navmesh", "active_mode", "error")
-    return found.join(voxels(K.SOLID, "solid"), "name").join(voxels(K.NAV, "nav"), "name").join(mesh, "name")
+    back = staged(K.contents(K.scene_packs(K.sessions(scenes, box), solid, nav, box, -T.SIZE), box), "contents")
+    own = lambda path, c: F.max(F.when(F.col("path") == path, F.col(c)))
+    weighed = lambda path: own(path, "sum_vy") * 7 + own(path, "sum_vx") * 3 + own(path, "sum_vz")
+    counts = back.groupBy("name").agg(
+        *(c.alias(n) for path, n in ((K.SOLID, "solid"), (K.NAV, "nav")) for c, n in ((own(path, "voxels"), n), (weighed(path), f"{n}_sum"))),
+        *(own(path, c).alias(f"{n}_{c}") for n, path in (("collision", K.COLLISION), ("floors", K.FLOORS)) for c in ("vertices", "triangles")),
+    ).filter("solid > 0 AND nav > 0")
+    found = K.judged(back).select("name", "files", "version", "mode", F.array_join("dims", "x").alias("dims"), "voxel_size", "has_volume", "has_navmesh", "active_mode", "error")
+    return found.join(counts, "name")
 
 
 def packed_round_trip(spark: SparkSession, sf: str) -> DataFrame:

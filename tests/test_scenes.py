@@ -49,3 +49,23 @@ def test_ramps_of_the_volume_and_of_the_terrain(spark):
     rows = P.ramps(spark, "/root/testdata/sf0.001")
     assert "over" in rows.columns and rows.filter("over = 'terrain'").count() > 0
     assert "'volume'" in P.SQL["floor_ramps"] and P.BOX in P.SQL["floor_ramps"]
+
+
+def test_scenes_are_packed_where_their_files_are_made(spark):
+    """Meshes were shuffled to be zipped, staged unzipped and read twice more, and voxels counted as rows: too slow at 1 GB."""
+    solid = [("a", x, y, z) for x in range(6) for z in range(4) for y in range((x * 7 + z * 3) % 4)] + [("b", 0, 0, 0), ("b", 5, 4, 3)]
+    nav = [("a", 0, 3, 0), ("a", 1, 4, 2), ("b", 0, 1, 0), ("b", 3, 1, 2)]
+    voxels = [spark.createDataFrame(rows, f"name string, {VOXELS}") for rows in (solid, nav)]
+    rows = [v.groupBy("name", F.lit(0).cast("bigint").alias("vx"), "vy", "vz").agg(F.expr("bit_or(shiftleft(1L, CAST(vx AS INT)))").alias("bits")) for v in voxels]
+    scenes = spark.createDataFrame([("a", [1.0, 2.0, 3.0], None), ("b", None, None)], "name string, seed array<double>, spawn array<double>")
+    sessions = K.sessions(scenes, BOX)
+    expected = K.zipped(sessions.union(K.scene_files(*voxels, BOX, -0.25)))
+    plain = sorted((r["name"], bytes(r["content"])) for r in expected.collect())
+    for volumes in (voxels, rows):
+        assert sorted((r["name"], bytes(r["content"])) for r in K.scene_packs(sessions, *volumes, BOX, -0.25).collect()) == plain
+    found = {(r["name"], r["path"]): r for r in K.contents(expected, BOX).collect()}
+    for path, own in ((K.SOLID, solid), (K.NAV, nav)):
+        for name in "ab":
+            at, r = [v for n, *v in own if n == name], found[name, path]
+            assert [r["voxels"], r["sum_vx"], r["sum_vy"], r["sum_vz"]] == [len(at), *map(sum, zip(*at, strict=True))]
+    assert sorted(map(tuple, K.judged(K.contents(expected, BOX)).collect())) == sorted(map(tuple, K.parsed(expected).collect()))

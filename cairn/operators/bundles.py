@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.slicing import levels
-from cairn.sources.tables import staged
+from cairn.sources.tables import discard, staged, with_ordinal
 
 SIDES = tuple(f"{n}_{c}" for n in ("min", "max") for c in "xyz")
 #: Rows from which on a level is fine enough, and rows read at most.
@@ -32,23 +33,64 @@ def start_level(count: int, wanted: str | int = "nav") -> int:
     return wanted
 
 
+#: Chunks below a node from which on boxes go down in one task, and boxes that do so together.
+BELOW, BOXES = 1024, 1 << 14
+PAIRS = pa.schema([("box", pa.int64()), ("chunk", pa.int64())])
+
+
+def descended(boxes: np.ndarray, tree: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of boxes (rows of SIDES) and the nodes below one of them: which box meets which chunk."""
+    tree = tree.sort_by("node_id")
+    node, chunks, first = (tree[c].to_numpy() for c in ("node_id", "chunks", "first"))
+    side = np.stack([tree[c].to_numpy() for c in SIDES], axis=1)
+    child = np.searchsorted(node, node * 2)  # those of a node stand side by side
+    found = [(np.zeros(0, np.int64),) * 2]
+    for start in range(0, len(boxes), 4096):
+        who = np.arange(start, min(start + 4096, len(boxes)))
+        at = np.zeros(len(who), np.int64)
+        while len(who):
+            hit = np.flatnonzero((boxes[who, :3] <= side[at, 3:]).all(axis=1) & (boxes[who, 3:] >= side[at, :3]).all(axis=1))
+            who, at = who[hit], at[hit]
+            leaf = chunks[at] == 1
+            found.append((who[leaf], first[at[leaf]]))
+            who, at = who[~leaf], child[at[~leaf]]
+            who, at = np.concatenate((who, who)), np.concatenate((at, at + 1))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
 def chunks_of_regions(regions: DataFrame, tree: DataFrame) -> DataFrame:
     """regions (region_id, min_x .. max_z) and lod_tree() -> region_id, chunk of the chunks whose boxes overlap.
 
-    All regions go down the tree together, a join on node numbers for each depth; a region goes on only below boxes that it overlaps."""
+    Regions of the same box go down the tree as one: by a join on node numbers for each depth while a node has many chunks below it, then with the
+    nodes below one in a task, so that the pairs of boxes and chunks, most of all that meet, are never staged. Only the result has a row for each region's."""
     node = tree.select("node_id", "depth", "chunks", "first", *SIDES)
-    at = regions.select("region_id", *(F.col(c).alias(f"of_{c}") for c in SIDES)).withColumn("node_id", F.lit(1).cast("bigint"))
-    found, depth = None, -1
-    while True:
-        depth += 1
+    boxes = with_ordinal(regions.select(*SIDES).distinct(), list(SIDES), "box")
+    n = node.agg(F.max("chunks")).first()[0] or 0
+    at, here = boxes.withColumn("node_id", F.lit(1).cast("bigint")), None
+    for depth in range(64):
+        last = -(-n // (1 << depth)) <= BELOW and (depth > 0 or n < 2)  # nodes of a depth differ by one chunk at most
         # A depth's own nodes only: the whole tree would be gathered for each.
-        here = staged(at.join(node.filter(F.col("depth") == depth), "node_id").filter(overlaps("of_", "")).select("region_id", "node_id", "chunks", "first", *(f"of_{c}" for c in SIDES)), "descent")
-        leaves = here.filter("chunks = 1").select("region_id", F.col("first").alias("chunk"))
-        found = leaves if found is None else found.union(leaves)
-        inner = here.filter("chunks > 1")
-        if inner.isEmpty():
-            return found
-        at = inner.select("region_id", *(f"of_{c}" for c in SIDES), F.explode(F.array(F.col("node_id") * 2, F.col("node_id") * 2 + 1)).alias("node_id"))
+        own = node.filter(F.col("depth") == depth).select("node_id", *(F.col(c).alias(f"of_{c}") for c in SIDES))
+        before, here = here, staged(at.join(own, "node_id").filter(overlaps("", "of_")).select("box", "node_id", *SIDES), "descent")
+        if before is not None:
+            discard(before)
+        if last:
+            break
+        at = here.select("box", *SIDES, F.explode(F.array(F.col("node_id") * 2, F.col("node_id") * 2 + 1)).alias("node_id"))
+
+    many = here.groupBy(F.col("node_id").alias("root")).agg(F.ceil(F.count("*") / BOXES).alias("parts"))
+    asked = here.withColumnRenamed("node_id", "root").join(many, "root").select("root", F.pmod(F.xxhash64("box"), F.col("parts")).alias("part"), "box", *SIDES)
+    below = node.filter(F.col("depth") >= depth).select(F.expr(f"shiftright(node_id, depth - {depth})").alias("root"), "node_id", "chunks", "first", *SIDES)
+    below = below.join(many, "root").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+
+    def meet(own: pa.Table, tree: pa.Table) -> pa.Table:
+        if not len(own) or not len(tree):
+            return PAIRS.empty_table()
+        which, chunk = descended(np.stack([own[c].to_numpy() for c in SIDES], axis=1), tree)
+        return pa.table([pa.array(own["box"].to_numpy()[which]), pa.array(chunk)], schema=PAIRS)
+
+    found = asked.groupBy("root", "part").cogroup(below.groupBy("root", "part")).applyInArrow(meet, "box bigint, chunk bigint")
+    return regions.select("region_id", *SIDES).join(boxes, list(SIDES)).select("region_id", "box").join(found, "box").select("region_id", "chunk")
 
 
 def budgets(counts: DataFrame, most: int = MOST) -> DataFrame:

@@ -471,3 +471,24 @@ def test_regions_meet_one_depth_of_the_tree_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(B, "staged", lambda df, what: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or staged(df, what))
     assert sorted(map(tuple, B.chunks_of_regions(regions, staged(tree, "tree")).collect())) == [(7, 0), (7, 1), (8, 0)]
     assert len(plans) == 2 and all(f"= {depth})" in plan and "depth" in plan for depth, plan in enumerate(plans))
+
+
+def test_regions_of_one_box_go_down_once_and_pairs_are_not_staged(spark, monkeypatch):
+    """A row for each region and node of each depth filled the disk at 6 GB."""
+    from cairn.operators import slicing as L
+
+    r = random.Random(8)
+    points = spark.createDataFrame([(i, *(r.uniform(0, 8) for _ in range(3))) for i in range(1200)], "splat_id long, x double, y double, z double")
+    leaf = staged(L.leaves(L.chunked(L.z_ordered(points), 20), 1), "leaf")
+    boxes = {x["chunk"]: x for x in leaf.collect()}
+    kinds = [(*(a := [r.uniform(-2, 9) for _ in range(3)]), *(v + r.uniform(0, 5) for v in a)) for _ in range(12)]
+    regions = [(k, *kinds[k % 12]) for k in range(240)]
+    frame = spark.createDataFrame(regions, "region_id long, " + ", ".join(f"{c} double" for c in B.SIDES))
+    want = {(k, c) for k, *s in regions for c, x in boxes.items() if all(s[i] <= x[f"max_{a}"] and s[i + 3] >= x[f"min_{a}"] for i, a in enumerate("xyz"))}
+    monkeypatch.setattr(B, "BELOW", 8)
+    monkeypatch.setattr(B, "BOXES", 3)
+    rows = []
+    monkeypatch.setattr(B, "staged", lambda df, what: rows.append(df.count()) or staged(df, what))
+    found = [tuple(x) for x in B.chunks_of_regions(frame, staged(L.lod_tree(leaf), "tree")).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert rows and max(rows) <= 12 * 8 < len(want)

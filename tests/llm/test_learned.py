@@ -5,10 +5,13 @@ import os
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from cairn.llm import langid, lm, toxicity
@@ -263,3 +266,16 @@ def test_what_no_later_job_reads_is_not_kept(spark, monkeypatch):
         there[what] = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     assert there == {"groups": False, "answers": True, "texts": True}
     assert set(seen) == {"true"} and spark.conf.get(name) == before and rows.count() == 20
+
+
+def test_workers_give_memory_back_after_each_group(monkeypatch):
+    """Workers kept what they had freed, and an executor went beyond 3000 MB on 0.51 GB."""
+    calls = []
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(lm, "give_back", lambda: calls.append(1))
+    batches = list(lm._group(1)(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [b"one two", b"two three"], "train": [True, False]})])))
+    rows = pa.Table.from_batches(batches).filter(pc.field("range") >= 0)
+    answers = lm._answered(rows.select(["part", "range", "codes", "counts"]))
+    assert len(calls) == 1 and answers.equals(lm._answer(rows.select(["part", "range", "codes", "counts"])))
+    packed = pa.Table.from_batches(lm._pack(b for b in batches if b["doc_id"][0].is_valid))
+    assert lm._opened(lambda key, texts, answers: texts)((0,), packed, None)["doc_id"].to_pylist() == [1, 2] and len(calls) == 2
